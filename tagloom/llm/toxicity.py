@@ -140,13 +140,12 @@ def evidence(text: str, grams: np.ndarray, contexts: np.ndarray) -> tuple[float,
     return total, n
 
 
-def _scorer(model):
+def _scorer(model, kept: list[str]):
     def run(batches):
         grams, contexts = (x.value for x in model)
         for b in batches:
-            found = [evidence(x, grams, contexts) for x in b.column("text").to_pylist()]
-            rest = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "text"]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*[n for n in b.schema.names if n != "text"], "llr", "n"])
+            found = [evidence(x, grams, contexts) for x in b.column("__text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*kept, "llr", "n"])
 
     return run
 
@@ -172,30 +171,35 @@ def calibrate(llr: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> list[float]:
     return (w / scale).tolist()
 
 
-def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the log-likelihood ratio llr over n letters, for each row of docs."""
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs, with all its columns but those of these names, with llr, n, score and predicted."""
     spark = docs.sparkSession
+    own = [c for c in docs.columns if c not in {"llr", "n", "score", "predicted"}]
     train = labelled(docs, labels)
-    n_rows = train.groupBy("toxic").count().collect()
-    seen = {r["toxic"]: r["count"] for r in n_rows}
-    rows = docs.select(F.col("doc_id"), (fold() == 0).alias("held_out"), text_or_empty().alias("text"))
-    kind = "doc_id long, held_out boolean, "
+    seen = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
+    rows = docs.select(*own, text_or_empty().alias("__text"))
     if len(seen) < 2:
-        share = 1.0 if 1 in seen else 0.0
-        out = rows.select("doc_id", "held_out", F.lit(0.0).alias("llr"), F.lit(0).cast("long").alias("n"), F.lit(share).alias("score"))
+        out = rows.select(*own, F.lit(0.0).alias("llr"), F.lit(0).cast("long").alias("n"), F.lit(1.0 if 1 in seen else 0.0).alias("score"))
     else:
         counts = train.where(fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "key long, t long, o long")
         counts = materialise(counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
         model = [spark.sparkContext.broadcast(slot_table(x, i)) for i, x in enumerate(ratios(counts), 1)]
         share = min(1.0, CALIBRATION_ROWS * 5 / max(1, sum(seen.values())))
         tuned = train.where((fold() == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))))
-        got = tuned.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(_scorer(model), "toxic int, llr double, n long").toPandas()
+        got = tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")).mapInArrow(_scorer(model, ["toxic"]), "toxic int, llr double, n long").toPandas()
         w = calibrate(got["llr"].to_numpy(), got["n"].to_numpy(), got["toxic"].to_numpy(float)) if got["toxic"].nunique() == 2 else [0.0, 1.0]
-        out = rows.mapInArrow(_scorer(model), kind + "llr double, n long")
-        m = F.greatest(F.col("n"), F.lit(1))
-        z = F.lit(w[0]) + F.lit(w[1]) * F.col("llr") / m
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
+        out = rows.mapInArrow(_scorer(model, own), kind + ", llr double, n long")
+        z = F.lit(w[0]) + F.lit(w[1]) * F.col("llr") / F.greatest(F.col("n"), F.lit(1))
         out = out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
-    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "llr", "n")
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score, predicted, and the log-likelihood ratio llr over n letters, for each row of docs."""
+    rows = docs.select("doc_id", (fold() == 0).alias("held_out"), "text")
+    # The scorer needs the text once; the result does not carry it.
+    return scored(rows, labels).select("doc_id", "held_out", "score", "predicted", "llr", "n")
 
 
 def op6_toxicity(spark, sf_dir):
