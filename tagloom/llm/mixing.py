@@ -72,6 +72,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
     up = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("words").over(up), F.lit(0)))
     cut = sums.where("before < lacks AND before + words >= lacks").groupBy(F.col("source").alias("cut_source")).agg(F.min("range").alias("cut"), F.min("before").alias("before"))
+    cut = materialise(cut)  # of known size, so the planner need not deal all rows by source
     d = d.join(cut, F.col("source").eqNullSafe(F.col("cut_source")), "left").drop("cut_source")
 
     inside = F.col("q").isNotNull() & F.col("cut").isNotNull() & (F.col("range") == F.col("cut"))
