@@ -1,10 +1,306 @@
-"""Registered queries over pages and their DuckDB equivalents."""
+"""Registered queries over pages and their DuckDB equivalents.
+
+The oracles read the pages' markup with regular expressions over its fixed layout, or state expected values; they share no code
+with the queries."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tagloom.functions import columns as C
+from tagloom.functions import native as N
+from tagloom.functions.tables import register
+from tagloom.operators.relation import nodes
+from tagloom.operators.render import Policy
+from tagloom.plans.relational import attr, page_meta, select, texts
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, spread over all cores before they are parsed."""
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(pages(spark, sf_dir))
+
 
+def _decoded(x: str) -> str:
+    """SQL for the character references that occur in pages."""
+    return f"""regexp_replace(replace(replace(replace({x}, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g')"""
 
+
+def _collapsed(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\t\n\f\r ]+', ' ', 'g'))"
+
+
+#: Markup outside script, style and comments.
+_BARE = r"regexp_replace(html, '<script>.*?</script>|<style>.*?</style>|<!--.*?-->', '', 'gs')"
+_TITLE = _collapsed(_decoded("regexp_extract(html, '<title>(.*?)</title>', 1, 's')"))
+
+
+@query(f"""SELECT page_id, {_TITLE} AS title, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+  len(regexp_extract_all(html, '<a href="[^"]*"')) AS n_links, len(regexp_extract_all({_BARE}, '<p>')) AS n_paragraphs FROM pages""")
 def page_facts(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    n = page_nodes(spark, sf_dir).repartition("page_id").cache()
+    counts = n.groupBy("page_id").agg(F.count_if((F.col("name") == "a") & attr("href").isNotNull()).alias("n_links"), F.count_if(F.col("name") == "p").alias("n_paragraphs"))
+    return page_meta(n).select("page_id", "title", "lang").join(counts, "page_id")
+
+
+@query(f"SELECT page_id, {_TITLE} AS title FROM pages")
+def page_title(spark, sf_dir):
+    return pages(spark, sf_dir).withColumn("m", C.html_meta("html")).select("page_id", F.col("m.title").alias("title"))
+
+
+@query("""SELECT page_id, i AS place, links[i] AS href FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages), range(1, 200) t(i) WHERE i <= len(links)""")
+def nav_links(spark, sf_dir):
+    found = select(page_nodes(spark, sf_dir), "nav li > a[href]")
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))
+    return found.select("page_id", place.cast("long").alias("place"), attr("href").alias("href"))
+
+
+@query("""SELECT page_id, i AS place, links[i] AS text FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1, 's') AS links FROM pages), range(1, 200) t(i) WHERE i <= len(links) AND i % 2 = 1""")
+def odd_link_texts(spark, sf_dir):
+    n = page_nodes(spark, sf_dir)
+    items = select(n, "nav ul li:nth-child(2n+1)").select("page_id", "el_pos", "node_id", "last_desc", "hidden")
+    return texts(n, items).join(items.select("page_id", "node_id", F.col("el_pos").cast("long").alias("place")), ["page_id", "node_id"]).select("page_id", "place", "text")
+
+
+@query(f"SELECT page_id, {_decoded("regexp_extract(html, '<h1>(.*?)</h1>', 1, 's')")} AS heading FROM pages")
+def heading_text(spark, sf_dir):
+    n = page_nodes(spark, sf_dir)
+    return texts(n, select(n, "article > h1")).select("page_id", F.col("text").alias("heading"))
+
+
+@query(f"SELECT page_id, {_decoded("regexp_extract(html, '<footer>(.*?)</footer>', 1, 's')")} AS footer FROM pages")
+def footer_text(spark, sf_dir):
+    register(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("tagloom_pages")
+    return spark.sql("SELECT page_id, s.text AS footer FROM tagloom_pages, LATERAL html_select(html, 'footer') s")
+
+
+@query(f"SELECT name, count(*) AS n FROM (SELECT unnest(regexp_extract_all({_BARE} || repeat('<style><script>', 1), '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY name")
+def tag_histogram(spark, sf_dir):
+    return page_nodes(spark, sf_dir).where("kind = 'element'").groupBy("name").agg(F.count("*").alias("n"))
+
+
+@query(f"""SELECT page_id, len(regexp_extract_all({_BARE}, '<[a-z]')) + 2 AS start_tags, len(regexp_extract_all({_BARE}, '</[a-z]')) + 2 AS end_tags,
+  len(regexp_extract_all(html, '<!-- ')) AS comments, len(regexp_extract_all(html, '<!DOCTYPE')) AS doctypes FROM pages""")
+def token_counts(spark, sf_dir):
+    register(spark)
+    pages(spark, sf_dir).createOrReplaceTempView("tagloom_pages")
+    return spark.sql("""SELECT page_id, count_if(kind = 'StartTag') AS start_tags, count_if(kind = 'EndTag') AS end_tags, count_if(kind = 'Comment') AS comments,
+      count_if(kind = 'DOCTYPE') AS doctypes FROM tagloom_pages, LATERAL html_tokens(html) GROUP BY page_id""")
+
+
+@query("""SELECT page_id, 0 + (html LIKE '%<p><b>%')::BIGINT * len(regexp_extract_all(html, '<p><b>')) AS n_bold FROM pages WHERE html LIKE '%<p><b>%'""")
+def bold_openings(spark, sf_dir):
+    return select(page_nodes(spark, sf_dir), "p > b:first-child").groupBy("page_id").agg(F.count("*").alias("n_bold"))
+
+
+@query(f"""SELECT page_id, greatest(len(regexp_extract_all(regexp_extract({_BARE}, '<article>(.*)', 1, 's'), '<p>')) - 1, 0) AS later FROM pages
+  WHERE len(regexp_extract_all(regexp_extract({_BARE}, '<article>(.*)', 1, 's'), '<p>')) > 1""")
+def later_paragraphs(spark, sf_dir):
+    return select(page_nodes(spark, sf_dir), "article > p ~ p").groupBy("page_id").agg(F.count("*").alias("later"))
+
+
+@query(f"SELECT page_id, 1::BIGINT AS n FROM pages WHERE regexp_matches({_BARE}, '</h1><p>')")
+def paragraph_after_heading(spark, sf_dir):
+    return select(page_nodes(spark, sf_dir), "h1 + p").groupBy("page_id").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id, len(regexp_extract_all(html, '<div class="ad">'))::BIGINT AS ads, len(regexp_extract_all(html, '<a href="/'))::BIGINT AS local_links FROM pages""")
+def ads_and_local_links(spark, sf_dir):
+    found = select(page_nodes(spark, sf_dir), "div.ad, a[href^='/'], nothing:not(*)")
+    return found.groupBy("page_id").agg(F.count_if(F.col("name") == "div").alias("ads"), F.count_if(F.col("name") == "a").alias("local_links"))
+
+
+@query("""SELECT regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, count(*) AS n_pages, sum(len(regexp_extract_all(html, '<li>')))::BIGINT AS n_items FROM pages GROUP BY ROLLUP(lang)""".replace("GROUP BY ROLLUP(lang)", "GROUP BY ROLLUP(1)"))
+def pages_by_language(spark, sf_dir):
+    n = page_nodes(spark, sf_dir).where("kind = 'element'")
+    facts = n.groupBy("page_id").agg(F.first(F.when(F.col("name") == "html", attr("lang")), ignorenulls=True).alias("lang"), F.count_if(F.col("name") == "li").alias("items"))
+    return facts.rollup("lang").agg(F.count("*").alias("n_pages"), F.sum("items").alias("n_items"))
+
+
+_ESCAPES = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT doc_id, md5({_ESCAPES.format("replace(text, chr(160), '&nbsp;')").replace("replace(replace(text, chr(160), '&nbsp;'), '&', '&amp;')", "replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;')")}) AS escaped,
+  md5(replace({_ESCAPES.format("text").replace("replace(text, '&', '&amp;')", "replace(replace(text, '&', '&amp;'), chr(160), '&nbsp;')")}, '"', '&quot;')) AS quoted FROM documents""")
+def escaped_documents(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(N.escape_text("text").cast("binary")).alias("escaped"), F.md5(N.escape_attr("text").cast("binary")).alias("quoted"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def escape_round_trip(spark, sf_dir):
+    """Escaping and then decoding is the identity (the texts hold no carriage return)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.md5(C.decode_entities(N.escape_attr("text")).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+def strip_round_trip(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    html = F.concat(F.lit("<div><title>no</title><i>"), N.escape_text("text"), F.lit("</i><script>x</script></div>"))
+    return docs.select("doc_id", F.md5(C.strip_tags(html).cast("binary")).alias("text_md5"))
+
+
+@query("SELECT n_nationkey AS nation, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def nation_table(spark, sf_dir):
+    """Regions and nations as one HTML table with row spans, and back."""
+    register(spark)
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    cell = F.concat(F.lit("<td>"), F.col("n_nationkey").cast("string"), F.lit("<td>"), N.escape_text("n_name"))
+    groups = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    html = F.concat(F.lit("<tr><th rowspan='"), F.size("cells").cast("string"), F.lit("'>"), N.escape_text("r_name"), F.array_join("cells", "<tr>"))
+    table = groups.agg(F.concat(F.lit("<table>"), F.array_join(F.sort_array(F.collect_list(html)), ""), F.lit("</table>")).alias("html"))
+    table.createOrReplaceTempView("tagloom_nations")
+    cells = spark.sql("SELECT c.* FROM tagloom_nations, LATERAL html_cells(html) c")
+    rows = cells.groupBy("table_ix", "row_ix").agg(*(F.max(F.when(F.col("col_ix") == i, F.col("text"))).alias(x) for i, x in enumerate(("region", "nation", "name"))))
+    return rows.select(F.col("nation").cast("int").alias("nation"), "name", "region")
+
+
+@query("SELECT l_orderkey AS orderkey, l_linenumber::INT AS line, l_quantity::DOUBLE AS quantity FROM lineitem WHERE l_orderkey % 50 = 0")
+def order_tables(spark, sf_dir):
+    """Lines of orders as one table an order, and back through the cell relation."""
+    register(spark)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_orderkey % 50 = 0")
+    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td> "), F.col("l_quantity").cast("string"), F.lit("\n</td></tr>"))
+    lines.groupBy("l_orderkey").agg(F.concat(F.lit("<table><tbody>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html")).createOrReplaceTempView("tagloom_orders")
+    cells = spark.sql("SELECT l_orderkey, c.* FROM tagloom_orders, LATERAL html_cells(html) c")
+    found = cells.groupBy("l_orderkey", "row_ix").agg(F.max(F.when(F.col("col_ix") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("col_ix") == 1, F.col("text"))).alias("b"))
+    return found.select(F.col("l_orderkey").alias("orderkey"), F.col("a").cast("int").alias("line"), F.col("b").cast("double").alias("quantity"))
+
+
+# ---- stated inputs and expected values ----------------------------------------------------------------------------
+
+
+def _values(cases: list[tuple]) -> str:
+    cell = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return f"SELECT * FROM (VALUES {', '.join(f'({i}, {", ".join(map(cell, c[1:]))})' for i, c in enumerate(cases))}) t(id, %s)"
+
+
+def stated(columns: str, cases: list[tuple]):
+    """A query over literal inputs (the first of each case); the oracle lists the rest."""
+
+    def add(f):
+        def run(spark, sf_dir):
+            df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "id int, input string")
+            return f(df)
+
+        run.__name__ = f.__name__
+        return query(_values(cases) % columns)(run)
+
+    return add
+
+
+@stated("decoded", [
+    ("caf&eacute; &amp; co", "café & co"), ("&ltb&gt", "<b>"), ("&ampx;&nosuch;", "&x;&nosuch;"), ("&#65;&#x42;&#X43", "ABC"), ("&#150;&#0;&#x110000;", "–��"),
+    ("&notin; &notinx", "∉ ¬inx"), ("&#; &#x; & &", "&#; &#x; & &"), ("&#xD800;&#1;", "�\x01"), (None, None),
+])
+def decode_cases(df):
+    return df.select("id", C.decode_entities("input").alias("decoded"))
+
+
+@stated("tree", [
+    ("<p>one<p>two", "<p>one</p><p>two</p>"), ("<ul><li>a<li>b</ul>c", "<ul><li>a</li><li>b</li></ul>c"), ("<i><b>x</i>y</b>", "<i><b>x</b></i>y"),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", "<table><tr><td>1</td><td>2</td></tr><tr><td>3</td></tr></table>"), ("<br></br></p>", "<br><br>"),
+    ("<h1>a<h2>b</h1>c", "<h1>a</h1><h2>b</h2>c"), ("<a>x<a>y</a>", "<a>x</a><a>y</a>"), ("<dl><dt>t<dd>d<dt>u</dl>", "<dl><dt>t</dt><dd>d</dd><dt>u</dt></dl>"),
+    ("<select><option>1<option>2</select>", "<select><option>1</option><option>2</option></select>"), ("<pre>\n\na</pre>", "<pre>\na</pre>"),
+    ("<script>a<!--<script>b</script>c--></script>d", "<script>a<!--<script>b</script>c--></script>d"), ("a<!--x--><!y>", "a<!--x--><!--y-->"), ("<p a=1 A=2 b>", '<p a="1" b=""></p>'), (None, None),
+])
+def parse_cases(df):
+    return df.select("id", C.serialize_html("input").alias("tree"))
+
+
+@stated("tokens", [
+    ("<A B=c>x</a >", '[["StartTag","a","b=c"],["Character","x"],["EndTag","a"]]'), ("<title><b></title>", '[["StartTag","title",""],["Character","<b>"],["EndTag","title"]]'),
+    ("<!doctype HTML><br/>", '[["DOCTYPE","html"],["StartTag","br",""]]'), ("a < b <", '[["Character","a < b <"]]'), ("<p", "[]"),
+])
+def token_cases(df):
+    x = C.tokenize("input")
+    attrs = lambda t: F.array_join(F.transform(t["attrs"], lambda a: F.concat_ws("=", a["name"], a["value"])), ",")
+    row = lambda t: F.array_compact(F.array(t["kind"], F.coalesce(t["name"], t["data"]), F.when(t["kind"] == "StartTag", attrs(t))))
+    return df.select("id", F.to_json(F.transform(x, row)).alias("tokens"))
+
+
+@stated("text", [
+    ("<h2>T</h2><p>a  b<br>c</p>", "## T\n\na b\nc"), ("<ol><li>x<li>y</ol>z", "- x\n- y\n\nz"), ("<table><tr><th>a<th>b<tr><td>1<td>2</table>", "a\tb\n1\t2"),
+    ("<pre> x\n  y</pre>", " x\n  y"), ("<p>a</p><hr><p>b</p>", "a\n\n---\n\nb"), ("<script>no</script><dl><dt>k<dd>v</dl>", "k\nv"), (None, None),
+])
+def text_cases(df):
+    return df.select("id", C.html_to_text("input").alias("text"))
+
+
+@stated("clean, framed", [
+    ("<p onclick=x>a<script>b</script></p>", "<p>a</p>", "<p>a</p>"), ('<a href="javascript:x">l</a>', "<a>l</a>", "<a>l</a>"), ("<font><b>x</b></font>", "<b>x</b>", "<b>x</b>"),
+    ('<img src="/i.png" onerror=x alt="&lt;">', '<img src="/i.png" alt="&lt;">', '<img src="/i.png" alt="&lt;">'), ("<iframe src='https://e.org/'>in</iframe>t", "t", '<iframe src="https://e.org/"></iframe>t'),
+    ("a<!-- c -->&amp;<u class=q>", "a&amp;<u></u>", 'a&amp;<u class="q"></u>'), (None, None, None),
+])
+def sanitize_cases(df):
+    wide = Policy().allow_tag("IFRAME").allow_attr("iframe", "src").allow_attr("*", "class")
+    return df.select("id", C.sanitize_html("input").alias("clean"), C.sanitize_html("input", wide).alias("framed"))
+
+
+@stated("safe", [
+    ("http://e.org", True), ("//e.org/a:b", True), ("java\tscript:x", False), ("MAILTO:a@b", True), ("data:text/html,x", False), ("?q=a:b", True), ("", True), (" \x01https:x", True), (None, None),
+])
+def safe_url_cases(df):
+    return df.select("id", N.is_safe_url("input").alias("safe"))
+
+
+@stated("title, description, canonical, lang, og", [
+    ("<html><html lang=de><title> a\n b </title><title>c</title>", "a b", None, None, "de", ""), ("<title></title><title>x</title><meta name=DESCRIPTION content=''>", None, "", None, None, ""),
+    ("<link rel='x Canonical'><link rel=canonical href=/c><meta property='OG:Title' content=t><meta property=og:u content='&amp;'>", None, None, "/c", None, "Title=t;u=&"),
+])
+def meta_cases(df):
+    m = page_meta(nodes(df.withColumnRenamed("id", "page_id"), "input"))
+    og = F.array_join(F.transform("og", lambda x: F.concat_ws("=", x["property"], x["content"])), ";")
+    return m.select(F.col("page_id").alias("id"), "title", "description", "canonical", "lang", og.alias("og"))
+
+
+@stated("cells, widths", [
+    ("<table><tr><td colspan=2>a<td>b<tr><td>c</table>", "a,a,b|c", "3,1"), ("<table><tr><td rowspan=2>a<td>b<tr><td>c</table>", "a,b|a,c", "2,2"), ("<table><tr><tr><td>x</table>", "|x", "0,1"),
+    ("<table><tr><td>o<table><tr><td>i</table></table>", "oi||i", "1||1"), ("none", "", ""),
+])
+def table_cases(df):
+    grids = C.html_tables("input")
+    cells = F.transform(grids, lambda t: F.array_join(F.transform(t, lambda r: F.array_join(r, ",")), "|"))
+    widths = F.transform(grids, lambda t: F.array_join(F.transform(t, lambda r: F.size(r).cast("string")), ","))
+    return df.select("id", F.array_join(cells, "||").alias("cells"), F.array_join(widths, "||").alias("widths"))
+
+
+_LIST = "<div id=d class='x y' lang=en-GB><p data-a='1 2'>a</p><p>b<i></i></p><span>c</span></div>"
+_SELECTORS = {
+    "p": "a,b", "#d > p": "a,b", ".y p:last-child": "", "[lang|=en] span": "c", "[data-a~='2']": "a", "p + span": "c", "p ~ *": "b,c", "i:empty": "", "div :nth-last-child(1)": ",c",
+    "p:not([data-a])": "b", "[data-a^='1'], [data-a$='1']": "a", "[lang*='-G'] > :only-child": "", "*:nth-child(odd):not(div):not(i)": "a,c", "[data-a^='']": "",
+}
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k.replace(chr(39), chr(39) * 2)}', '{v}')" for k, v in _SELECTORS.items()) + ") t(selector, found)")
+def selector_cases(spark, sf_dir):
+    """Each selector as a plan over the node relation."""
+    n = nodes(spark.createDataFrame([(0, _LIST)], "page_id int, html string"))
+    out = None
+    for s in _SELECTORS:
+        found = select(n, s)
+        text = texts(n, found).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "text"))), lambda x: x["text"]), ",").alias("found"))
+        one = text.select(F.lit(s).alias("selector"), "found")
+        out = one if out is None else out.unionByName(one)
+    return out
