@@ -7,8 +7,8 @@ most eps / sqrt(d - 1) * sqrt((1 - <o, x>^2) / <o, x>^2) up to the probability t
 rounding, so that <x, t> comes from population counts of the packed code with the 4 bit planes.
 <v, y> = |v - c| |y - c| <o, t> + <v, c> + <c, y> - <c, c>; a third scalar, <v, c>, completes it.
 
-Search: queries in blocks against blocks of rows. A row whose upper bound reaches the k-th largest lower bound of its block is
-reranked with the original vectors in double precision; the k best of each block are merged. Every row has a code; nothing is capped.
+Search: queries in blocks against blocks of rows. The 2k rows of the largest estimates are ranked with the original vectors in double
+precision; then every row whose upper bound reaches the k-th of them is reranked too. The k best of each block are merged. Every row has a code; nothing is capped.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do those whose length is
 not the most common one (the smaller of equals); ties go to the smaller vec_id; rows with a null id take no part; an empty table
@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from tagloom.llm.common import materialise, table
 
 #: Confidence of the error bound, in units of its standard deviation.
-EPS = 4.0
+EPS = 1.9
 #: Rows and queries of a block.
 ROW_BLOCK, QUERY_BLOCK = 8192, 2048
 #: Queries whose estimates are held at once.
-STRIP = 64
+STRIP = 16
 PLANES = 4
 
 
@@ -67,22 +67,21 @@ def query_planes(directions: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndar
     return planes, least, step, level.sum(axis=1, dtype=np.int64)
 
 
-def estimates(planes, least, step, level_sum, codes: np.ndarray, ones: np.ndarray, dim: int) -> np.ndarray:
-    """<x, t> for each query and code: sum over set bits of t minus that over clear bits."""
-    total = np.zeros((planes.shape[1], len(codes)), np.int64)
+def set_levels(planes: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """For each query and code, the sum of the quantised levels over the code's set bits: population counts by bit plane."""
+    total = np.zeros((planes.shape[1], len(codes)), np.int32)
     for p in range(PLANES):
         for w in range(codes.shape[1]):
-            total += np.bitwise_count(planes[p, :, w, None] & codes[None, :, w]).astype(np.int64) << p
-    over_set = step[:, None] * total + least[:, None] * ones[None, :]
-    everything = step * level_sum + least * dim
-    return (2 * over_set - everything[:, None]) / np.sqrt(dim)
+            total += np.bitwise_count(planes[p, :, w, None] & codes[None, :, w]).astype(np.int32) << p
+    return total
 
 
 def _search_block(q_ids, q_vec, ids, vec, packed, scalars, centre, turn, k: int, eps: float) -> Iterator[tuple]:
     dim = len(centre)
     codes, ones = words(packed), np.bitwise_count(packed).sum(axis=1, dtype=np.int64)
     norm, match, dot_c = scalars.T
-    spread = eps / np.sqrt(max(dim - 1, 1)) * np.sqrt(np.maximum(1 - match**2, 0)) / match
+    lean = norm / match
+    spread = norm * eps / np.sqrt(max(dim - 1, 1)) * np.sqrt(np.maximum(1 - match**2, 0)) / match
     cc = float((centre * centre).sum())
     for at in range(0, len(q_ids), STRIP):
         y, own = q_vec[at : at + STRIP], q_ids[at : at + STRIP]
@@ -90,22 +89,29 @@ def _search_block(q_ids, q_vec, ids, vec, packed, scalars, centre, turn, k: int,
         y_norm = np.sqrt((off * off).sum(axis=1))
         t = (off / np.where(y_norm > 0, y_norm, 1)[:, None]) @ turn.T
         planes, least, step, level_sum = query_planes(t, int(own[0]) & 0x7FFFFFFF)
-        inner = estimates(planes, least, step, level_sum, codes, ones, dim) / match
-        # Rounding to 4 bits adds at most one step a coordinate, independent and of mean 0.
-        rounding = eps * 0.5 * step[:, None] / match[None, :]
-        scale = y_norm[:, None] * norm[None, :]
-        base = dot_c[None, :] + ((y * centre).sum(axis=1) - cc)[:, None]
-        middle, error = scale * inner + base, scale * (spread[None, :] + rounding) + 1e-9
+        # <x, t> sqrt(d) = 2 (step * levels of set bits + least * set bits) - (step * all levels + least * d)
+        over = set_levels(planes, codes) * (2 * step * y_norm)[:, None]
+        over += (2 * least * y_norm)[:, None] * ones - ((step * level_sum + least * dim) * y_norm)[:, None]
+        over *= lean / np.sqrt(dim)
+        over += dot_c + ((y * centre).sum(axis=1) - cc)[:, None]
+        # Rounding to 4 bits adds at most half a step a coordinate as standard deviation, independent and of mean 0.
+        high = over + y_norm[:, None] * spread + (0.5 * eps * step * y_norm)[:, None] * lean + 1e-9
         itself = own[:, None] == ids[None, :]
-        low = np.where(itself, -np.inf, middle - error)
-        high = np.where(itself, -np.inf, middle + error)
-        if len(ids) > k:
-            floor = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k]
-        else:
-            floor = np.full(len(own), -np.inf)
+        over[itself] = high[itself] = -np.inf
+        first = min(2 * k, len(ids))
+        likely = np.argpartition(over, len(ids) - first, axis=1)[:, len(ids) - first :]
         for i in range(len(own)):
-            take = np.flatnonzero((high[i] >= floor[i]) & ~itself[i])
-            exact = (vec[take] * y[i]).sum(axis=1)
+            # The k-th of the likeliest in double precision: what cannot reach it is not reranked.
+            exact = (vec[likely[i]] * y[i]).sum(axis=1)[~itself[i, likely[i]]]
+            floor = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
+            reach = high[i] >= floor
+            reach[likely[i]] = True
+            take = np.flatnonzero(reach & ~itself[i])
+            near = vec[take] @ y[i]
+            if len(take) > k:  # all but what rounding cannot lift into the k best
+                least_near = np.partition(near, len(take) - k)[len(take) - k]
+                take = take[near >= least_near - 1e-9 * max(1.0, abs(least_near))]
+            exact = (vec[take] * y[i]).sum(axis=1)  # the same sum for equal vectors, wherever they stand
             best = np.lexsort((ids[take], -exact))[:k]
             yield int(own[i]), ids[take][best], exact[best]
 
