@@ -97,7 +97,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             elif kind == "phone":
                 if not 7 <= len(digits) <= 15 or not (whole[0] in "+(" or len(digits) >= 9):
                     continue
-                canonical = digits
+                canonical = digits[-10:]  # with or without a country code
             else:
                 canonical = digits
             found.append((m.start(), m.end(), kind, canonical))
@@ -181,17 +181,15 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
     if kind == "secret":
         return _alike(canonical, d, hexed=bool(re.fullmatch(r"[0-9a-f]+", canonical)))
     if kind in ("phone", "ssn", "number"):
-        # A leading country code stays: what is over ten digits.
-        head = canonical[: max(0, len(canonical) - 10)]
-        rest = canonical[len(head) :]
-        return head + str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in rest[1:])
+        return str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in canonical[1:])
     raise ValueError(kind)
 
 
 def styled(mention: str, kind: str, form: str) -> str:
     """A canonical form in the format of the mention."""
     if kind in ("card", "phone", "ssn", "number"):
-        digits = iter(form)
+        # The country code, over ten digits of a telephone number, stays.
+        digits = iter(re.sub(r"\D", "", mention)[: -len(form)] + form)
         return "".join(next(digits) if c.isdigit() else c for c in mention)
     if kind == "iban":
         chars = iter(form)

@@ -52,16 +52,22 @@ def communication_matrix(sizes: list[int], cells: list[int], seed: int) -> np.nd
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    if good == 0:
-        return 0
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
-    # numpy's limit: split the draw at random into parts that it accepts, which is exact.
-    half = good // 2 or 1
-    if half == good:
-        return int(rng.random() < n / (good + bad))
-    first = _hypergeometric(rng, half, good - half + bad, n)
-    return first + _hypergeometric(rng, good - half, bad, n - first)
+    """Good ones among n drawn; exact for any size."""
+    if good < 1_000_000_000 and bad < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n)) if good and n else 0
+    if 2 * n > good + bad:
+        return good - _hypergeometric(rng, good, bad, good + bad - n)
+    if n <= 16:
+        got = 0
+        for i in range(n):
+            got += rng.random() * (good + bad - i) < good - got
+        return got
+    # Beyond numpy's limit: include each item on its own with chance n / total, then correct the number, which takes about sqrt(n) more.
+    chance = n / (good + bad)
+    a, b = int(rng.binomial(good, chance)), int(rng.binomial(bad, chance))
+    if a + b >= n:
+        return a - _hypergeometric(rng, a, b, a + b - n)
+    return a + _hypergeometric(rng, good - a, bad - b, n - a - b)
 
 
 def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
