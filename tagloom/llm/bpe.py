@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import table, text_or_empty
+from tagloom.llm.common import slices, table, text_or_empty
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -31,7 +31,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 #: Characters of a document, or of a run without a place to cut, above which it is encoded in parts; bytes of a leaf; first window.
 SEGMENT, LONG, LEAF, WINDOW = 1 << 16, 2048, 1024, 8
 #: Tokens of a batch.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 class Codec:
@@ -166,7 +166,7 @@ def _batched(batch: pa.RecordBatch, found: Iterator[np.ndarray], name: str, drop
 def _encode_whole(folder: str):
     def run(batches):
         c = codec(folder)
-        for b in batches:
+        for b in slices(batches):
             yield from _batched(b, (np.array(c.encode(x), np.int32) for x in b.column("__text").to_pylist()), "ids", "__text")
 
     return run
@@ -175,7 +175,7 @@ def _encode_whole(folder: str):
 def _split(folder: str, segment: int):
     def run(batches):
         c = codec(folder)
-        for b in batches:
+        for b in slices(batches):
             for uid, text in zip(b.column("__uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
                 parts = list(c.segments(text, segment))
                 yield pa.RecordBatch.from_arrays([pa.array([uid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["__uid", "part", "run", "data"])
@@ -186,7 +186,7 @@ def _split(folder: str, segment: int):
 def _encode_parts(folder: str):
     def run(batches):
         c = codec(folder)
-        for b in batches:
+        for b in slices(batches):
             found = (np.array(c.part(r, x), np.int32) for r, x in zip(b.column("run").to_pylist(), b.column("data").to_pylist(), strict=True))
             yield from _batched(b, found, "ids", "data")
 
@@ -223,7 +223,7 @@ def encode(df: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, segm
 def _decode(folder: str):
     def run(batches):
         c = codec(folder)
-        for b in batches:
+        for b in slices(batches):
             ids = b.column("ids")
             flat, offsets = np.asarray(ids.flatten()), np.asarray(ids.offsets) - ids.offsets[0].as_py()
             texts = [c.decode(flat[s:e].tolist()) for s, e in zip(offsets, offsets[1:], strict=False)]

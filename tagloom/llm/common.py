@@ -45,6 +45,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a batch that Python holds as objects at once.
+SLICE = 512
+
+
+def slices(batches):
+    """The same rows in smaller batches, so that a worker never holds thousands of texts as Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE):
+            yield b.slice(at, SLICE)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c, F.lit(""))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import SPACE_BYTES, materialise, text_or_empty
+from tagloom.llm.common import SPACE_BYTES, materialise, slices, text_or_empty
 
 #: A prime of 127 bits.
 MODULUS = 89410556338362034677157363187998816313
@@ -58,7 +58,7 @@ def _pack(value: int) -> bytes:
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         prints, sizes, shas = [], [], []
         for raw in b.column("body").to_pylist():
             data = normalised(raw)
@@ -69,7 +69,7 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         data = [normalised(x) for x in b.column("body").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("piece"), pa.array([_pack(fingerprint_stream(x)) for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["uid", "piece", "fp", "n_bytes"])
 
@@ -107,7 +107,7 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
 
 def _chunk_rows(bits: bytes, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             held = 0
             for raw in b.column("body").to_pylist():

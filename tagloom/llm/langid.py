@@ -22,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import code_runs, fold, materialise, mixed, packed, table
+from tagloom.llm.common import code_runs, fold, materialise, mixed, packed, slices, table
 
 ORDER = 4
 SLOTS, PROBES = 1 << 20, 3
 MIN_SHARE = 5e-6
 #: n-grams counted at once.
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,7 +39,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: dict[str, list[np.ndarray]] = {}
     size = 0
-    for b in batches:
+    for b in slices(batches):
         for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist(), strict=True):
             for codes in code_runs(text, ORDER - 1):
                 held.setdefault(lang, []).append(packed(codes, ORDER))
@@ -108,7 +108,7 @@ def hits(text: str, filt: np.ndarray, n_langs: int) -> tuple[np.ndarray, int, bo
 def _predictor(langs: list[str], shared, rates: np.ndarray):
     def run(batches):
         filt = shared.value
-        for b in batches:
+        for b in slices(batches):
             preds, scores = [], []
             for text in b.column("text").to_pylist():
                 pred, score = "und", 0.0

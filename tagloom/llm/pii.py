@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, table
+from tagloom.llm.common import materialise, slices, table
 
 KEY = b"tagloom-surrogates"
 #: Given names by (gender, script).
@@ -210,7 +210,7 @@ def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         rows = [(uid, k, c) for uid, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True) if text for k, c in {(k, c) for _, _, k, c in mentions(text)}]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["uid", "kind", "canonical"])
 
@@ -243,7 +243,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
 
 def _replacer(key: bytes):
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts, counts = [], []
             for text, again in zip(b.column("text").to_pylist(), b.column("again").to_pylist(), strict=True):
                 out, n = (text, 0) if not text else replace(text, {(x["kind"], x["canonical"]): x["attempt"] for x in again or []}, key)

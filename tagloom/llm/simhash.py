@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, mixed, table
+from tagloom.llm.common import materialise, mixed, slices, table
 from tagloom.llm.components import components
 
 SEED = 42
@@ -63,7 +63,7 @@ def _signed(values) -> pa.Array:
 def _printer(shingle: int, words_64: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = 64 * (words_64 - 1)
-        for b in batches:
+        for b in slices(batches):
             prints = [simhash(x, shingle, SEED, words_64) for x in b.column("body").to_pylist()]
             wide = [(x & ((1 << rest) - 1)).to_bytes(rest // 8, "big") for x in prints]
             yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), _signed([x >> rest for x in prints]), pa.array(wide, pa.binary())], ["uid", "doc_id", "fp", "wide"])

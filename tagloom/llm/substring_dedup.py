@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, table
+from tagloom.llm.common import materialise, slices, table
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, MIN_RUN = 24, 256, 5, 128
 GEAR = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 32, 256, np.uint32)
@@ -71,7 +71,7 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip((uid, rank, at, size, again), kinds, strict=True)), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
 
     held: tuple[list, ...] = ([], [], [], [], [], [])
-    for b in batches:
+    for b in slices(batches):
         for uid, rank, data in zip(b.column("uid").to_pylist(), b.column("rank").to_pylist(), b.column("body").to_pylist(), strict=True):
             first, seen = 0, set()
             for end in cuts(data or b""):
@@ -80,7 +80,7 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     column.append(value)
                 seen.add(digest)
                 first = end
-            if len(held[0]) > 200_000:
+            if len(held[0]) > 50_000:
                 yield flush(*held)
                 held = ([], [], [], [], [], [])
     if held[0]:
@@ -123,7 +123,7 @@ _OUT = "doc_id long, n_bytes long, removed_bytes long, spans array<struct<start:
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    for b in batches:
+    for b in slices(batches):
         spans, removed, texts, sources = [], [], [], []
         for data, parts in zip(b.column("body").to_pylist(), b.column("parts").to_pylist(), strict=True):
             own = runs([(p["at"], p["size"]) for p in parts or []])

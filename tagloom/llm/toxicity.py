@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import CODE_BITS, code_runs, fold, materialise, mixed, packed, table, text_or_empty
+from tagloom.llm.common import CODE_BITS, code_runs, fold, materialise, mixed, packed, slices, table, text_or_empty
 
 #: Letters of a sequence, and the orders that it backs off to.
 ORDER, LOWER = 4, (2,)
@@ -38,7 +38,7 @@ BROADCAST_LABELS = 2_000_000
 #: Rows of the calibration fold to fit two numbers on: an expected bound, drawn by a hash of the id.
 CALIBRATION_ROWS = 50_000
 #: Letters counted at once.
-BUFFER = 1 << 22
+BUFFER = 1 << 20
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -59,7 +59,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(toxic.astype(np.int64)), pa.array(ordinary.astype(np.int64))], ["key", "t", "o"])
 
     held, size = ([], []), 0
-    for b in batches:
+    for b in slices(batches):
         for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
             for codes in code_runs(text, ORDER - 1):
                 held[toxic].append(packed(codes, ORDER))
@@ -143,7 +143,7 @@ def evidence(text: str, grams: np.ndarray, contexts: np.ndarray) -> tuple[float,
 def _scorer(model, kept: list[str]):
     def run(batches):
         grams, contexts = (x.value for x in model)
-        for b in batches:
+        for b in slices(batches):
             found = [evidence(x, grams, contexts) for x in b.column("__text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*kept, "llr", "n"])
 
