@@ -79,7 +79,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
     if "@" in text:
         found += [(m.start(), m.end(), "email", m[0].lower()) for m in _EMAIL.finditer(text)]
     if "=" in text or ":" in text:
-        found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text)]
+        found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text) if any(c.isalnum() for c in m[1])]
     if _DIGIT.search(text):
         for m in _NUMBER.finditer(text):
             kind, whole = m.lastgroup, m[0]
@@ -152,7 +152,7 @@ def _alike(text: str, d: _Draw, hexed: bool = False) -> str:
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
     """The canonical form that replaces `canonical` at this attempt."""
     d = _Draw(key, kind, canonical, str(attempt))
-    longer = max(0, attempt - 8)  # a short form whose namespace is used up grows
+    longer = max(0, attempt - 8)  # a form whose namespace is used up grows; a private address becomes any address
     if kind == "given":
         names = GIVEN[_PLACE[canonical]]
         cycle = sorted(names, key=lambda x: hmac.new(key, x.encode(), hashlib.sha256).digest())
@@ -167,7 +167,7 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
         return _alike(local + "a" * longer, d) + "@" + ".".join([*(_alike(x, home) for x in labels[:-1]), labels[-1]])
     if kind == "ip":
         first, second = canonical.split(".")[:2]
-        if first in ("10", "127") or (first, second) == ("192", "168"):
+        if not longer and (first in ("10", "127") or (first, second) == ("192", "168")):
             head = [first] if first != "192" else [first, second]
         else:
             head = [str([*range(11, 127), *range(128, 169), *range(173, 192), *range(193, 224)][d.below(188 + 19)])]
@@ -179,9 +179,9 @@ def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
         body = canonical[:2] + "00" + _alike(canonical[4:], d)
         return f"{canonical[:2]}{98 - _mod97(body):02d}{body[4:]}"
     if kind == "secret":
-        return _alike(canonical, d, hexed=bool(re.fullmatch(r"[0-9a-f]+", canonical)))
+        return _alike(canonical + "0" * longer, d, hexed=bool(re.fullmatch(r"[0-9a-f]+", canonical)))
     if kind in ("phone", "ssn", "number"):
-        return str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in canonical[1:])
+        return str(2 + d.below(8)) + "".join(str(d.below(10)) for _ in canonical[1:] + "0" * longer)
     raise ValueError(kind)
 
 
@@ -190,7 +190,7 @@ def styled(mention: str, kind: str, form: str) -> str:
     if kind in ("card", "phone", "ssn", "number"):
         # The country code, over ten digits of a telephone number, stays.
         digits = iter(re.sub(r"\D", "", mention)[: -len(form)] + form)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "iban":
         chars = iter(form)
         return "".join(c if c == " " else next(chars) for c in mention)

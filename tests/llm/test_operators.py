@@ -123,6 +123,16 @@ def test_pii_collisions(spark):
     assert not {c for _, c in rows} & set(forms)
 
 
+def test_pii_used_up_namespace(spark):
+    rows = [("secret", f"{c}-------") for c in range(10)]
+    out = pii.assign(spark.createDataFrame(rows, "kind string, canonical string")).collect()
+    forms = {r.form for r in out}
+    assert len(forms) == 10
+    assert not {c for _, c in rows} & forms
+    assert pii.mentions("password: -------- token: ________") == []
+    assert pii.styled("+1 555-1234567", "phone", "55512345678") == "+5 551-2345678"
+
+
 # ---- op4 ----
 
 
