@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, table
+from tagloom.llm.common import in_arrow, materialise, table
 
 #: Confidence of the error bound, in units of its standard deviation.
 EPS = 1.9
@@ -153,9 +153,9 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
         return vectors.select("vec_id", "vector", F.lit(b"").alias("code"), F.array().cast("array<double>").alias("scalars")), np.zeros(0), np.zeros((0, 0))
     dim, n = counts[0]["dim"], counts[0]["count"]
     vectors = vectors.where(F.size("vector") == dim)
-    sums = vectors.select("vector").mapInArrow(_partial_sums(dim), "total array<double>").select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()
+    sums = vectors.select("vector").transform(in_arrow, _partial_sums(dim), "total array<double>").select(F.posexplode("total")).groupBy("pos").agg(F.sum("col").alias("s")).orderBy("pos").collect()
     centre, turn = np.array([r["s"] for r in sums]) / n, rotation(dim)
-    return vectors.mapInArrow(_coder(centre, turn), "vec_id long, vector array<double>, code binary, scalars array<double>"), centre, turn
+    return vectors.transform(in_arrow, _coder(centre, turn), "vec_id long, vector array<double>, code binary, scalars array<double>"), centre, turn
 
 
 def _searcher(centre, turn, k, eps):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import slices, table, text_or_empty
+from tagloom.llm.common import in_arrow, slices, table, text_or_empty
 
 #: Where the public vocabularies lie.
 TOKENIZERS = "/opt/tokenizers"
@@ -80,7 +80,8 @@ class Codec:
         return parts[0] if parts else []
 
     def segments(self, text: str, segment: int = SEGMENT) -> Iterator[tuple[int, bytes]]:
-        """(run, bytes): parts to encode on their own; run >= 0 numbers the leaves of one long pre-token, -1 is text cut at sure places."""
+        """(run, bytes): parts to encode on their own; run >= 0 numbers the leaves of one long pre-token, -1 is text cut at sure places,
+        -2 one pre-token of white space."""
         if not self.unsplit.search(text):
             yield from ((-1, x) for x in self._cut(text, segment))
             return
@@ -89,13 +90,26 @@ class Codec:
             if k % 2:
                 yield -1, part.encode()
                 continue
+            # Pre-tokens between long ones go together, up to one that is no white space: only white space looks at what follows it.
+            start, done, trail = 0, 0, []
             for m in self.pieces.finditer(part):
-                data = m[0].encode()
-                if len(data) <= LONG:
-                    yield -2, data
-                else:
+                if m.end() - m.start() > LONG // 4 and len(data := m[0].encode()) > LONG:
+                    if done > start:
+                        yield -1, part[start:done].encode()
+                    yield from ((-2, x.encode()) for x in trail)
                     yield from ((run, data[i : i + LEAF]) for i in range(0, len(data), LEAF))
                     run += 1
+                    start = done = m.end()
+                    trail = []
+                elif not m[0].isspace():
+                    done, trail = m.end(), []
+                    if done - start >= segment:
+                        yield -1, part[start:done].encode()
+                        start = done
+                else:
+                    trail.append(m[0])
+            if start < len(part):
+                yield -1, part[start:].encode()
 
     @staticmethod
     def _cut(text: str, segment: int) -> Iterator[bytes]:
@@ -150,8 +164,8 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int32)))
 
 
-def _batched(batch: pa.RecordBatch, found: Iterator[np.ndarray], name: str, drop: str) -> Iterator[pa.RecordBatch]:
-    """batch without `drop`, with a list column, in slices of a bounded number of tokens."""
+def _batched(batch: pa.RecordBatch, found: Iterator[np.ndarray], name: str, drop: str, decoder: Codec | None = None) -> Iterator[pa.RecordBatch]:
+    """batch without `drop`, with a list column (and, of a decoder, the text of each list), in slices of a bounded number of tokens."""
     keep = [n for n in batch.schema.names if n != drop]
     first, held, size = 0, [], 0
     for i, x in enumerate(found):
@@ -159,15 +173,16 @@ def _batched(batch: pa.RecordBatch, found: Iterator[np.ndarray], name: str, drop
         size += len(x)
         if size >= BATCH or i == batch.num_rows - 1:
             part = batch.slice(first, len(held))
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), _lists(held)], [*keep, name])
+            more = {} if decoder is None else {"decoded": pa.array([decoder.decode(x.tolist()) for x in held], pa.string())}
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in keep), _lists(held), *more.values()], [*keep, name, *more])
             first, held, size = i + 1, [], 0
 
 
-def _encode_whole(folder: str):
+def _encode_whole(folder: str, decoded: bool):
     def run(batches):
         c = codec(folder)
         for b in slices(batches):
-            yield from _batched(b, (np.array(c.encode(x), np.int32) for x in b.column("__text").to_pylist()), "ids", "__text")
+            yield from _batched(b, (np.array(c.encode(x), np.int32) for x in b.column("__text").to_pylist()), "ids", "__text", c if decoded else None)
 
     return run
 
@@ -193,12 +208,12 @@ def _encode_parts(folder: str):
     return run
 
 
-def _merge(folder: str):
+def _merge(folder: str, decoded: bool):
     def run(batches):
         c = codec(folder)
         for b in batches:
             found = (np.array(c.merge([(p["run"], p["ids"]) for p in sorted(parts, key=lambda p: p["part"])]), np.int32) for parts in b.column("parts").to_pylist())
-            yield from _batched(b, found, "ids", "parts")
+            yield from _batched(b, found, "ids", "parts", c if decoded else None)
 
     return run
 
@@ -207,16 +222,18 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(df: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, segment: int = SEGMENT) -> DataFrame:
-    """df without the text and with ids (array of int). Documents over `segment` characters are encoded in parallel parts."""
-    rest = [c for c in df.columns if c not in {text_col, "ids"}]
+def encode(df: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, segment: int = SEGMENT, decoded: bool = False) -> DataFrame:
+    """df without the text and with ids (array of int). Documents over `segment` characters are encoded in parallel parts.
+
+    With `decoded` also a column of that name: the ids decoded again by the worker that has them, without another round of workers."""
+    rest = [c for c in df.columns if c not in {text_col, "ids"} and not (decoded and c == "decoded")]
     rows = df.select(*rest, text_or_empty(text_col).alias("__text"))
-    kind = ", ".join(filter(None, [_schema(df.select(*rest)) if rest else "", "ids array<int>"]))
-    short = rows.where(F.length("__text") <= segment).mapInArrow(_encode_whole(folder), kind)
+    kind = ", ".join(filter(None, [_schema(df.select(*rest)) if rest else "", "ids array<int>" + ", decoded string" * decoded]))
+    short = rows.where(F.length("__text") <= segment).transform(in_arrow, _encode_whole(folder, decoded), kind)
     long = rows.withColumn("__uid", F.monotonically_increasing_id()).where(F.length("__text") > segment)
-    parts = long.select("__uid", "__text").mapInArrow(_split(folder, segment), "__uid long, part int, run int, data binary")
-    parts = parts.repartition(F.col("__uid"), F.col("part")).mapInArrow(_encode_parts(folder), "__uid long, part int, run int, ids array<int>")
-    whole = parts.groupBy("__uid").agg(F.collect_list(F.struct("part", "run", "ids")).alias("parts")).mapInArrow(_merge(folder), "__uid long, ids array<int>")
+    parts = long.select("__uid", "__text").transform(in_arrow, _split(folder, segment), "__uid long, part int, run int, data binary")
+    parts = parts.repartition(F.col("__uid"), F.col("part")).transform(in_arrow, _encode_parts(folder), "__uid long, part int, run int, ids array<int>")
+    whole = parts.groupBy("__uid").agg(F.collect_list(F.struct("part", "run", "ids")).alias("parts")).transform(in_arrow, _merge(folder, decoded), "__uid long, ids array<int>" + ", decoded string" * decoded)
     return short.unionByName(long.drop("__text").join(whole, "__uid").drop("__uid"))
 
 
@@ -234,12 +251,12 @@ def _decode(folder: str):
 
 def decode(df: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """df (with ids) and decoded, the text."""
-    return df.mapInArrow(_decode(folder), _schema(df) + ", decoded string")
+    return df.transform(in_arrow, _decode(folder), _schema(df) + ", decoded string")
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of docs (doc_id, text)."""
-    out = decode(encode(docs.select("doc_id", "text")))
+    out = encode(docs.select("doc_id", "text"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 

@@ -45,6 +45,16 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and a Python worker; a single longer text makes a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def in_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded size, whatever the length of the texts (a setting of the session, read when the plan runs)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 #: Rows of a batch that Python holds as objects at once.
 SLICE = 512
 

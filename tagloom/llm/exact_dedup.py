@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import SPACE_BYTES, materialise, slices, text_or_empty
+from tagloom.llm.common import SPACE_BYTES, in_arrow, materialise, slices, text_or_empty
 
 #: A prime of 127 bits.
 MODULUS = 89410556338362034677157363187998816313
@@ -94,15 +94,15 @@ def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     """uid, doc_id, n_points (code points), fp, n_bytes and sha of each row's normalised text."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
     rows = rows.withColumn("n_points", F.length("body").cast("long"))
-    small = rows.where(F.col("n_points") <= huge).select("uid", "doc_id", "n_points", F.col("body").cast("binary").alias("body")).mapInArrow(_whole, _PRINTED)
+    small = rows.where(F.col("n_points") <= huge).select("uid", "doc_id", "n_points", F.col("body").cast("binary").alias("body")).transform(in_arrow, _whole, _PRINTED)
     sha = F.sha2(F.translate("body", " \t\n\x0b\x0c\r", "").cast("binary"), 256)
     cut = rows.where(F.col("n_points") > huge).withColumn("sha", sha)
     cut = cut.select("uid", "doc_id", "n_points", "sha", "body", F.explode(F.sequence(F.lit(0), ((F.col("n_points") - 1) / huge).cast("int"))).alias("piece"))
     cut = cut.select("uid", "doc_id", "n_points", "sha", "piece", F.substring("body", F.col("piece") * huge + 1, F.lit(huge)).cast("binary").alias("body"))
-    hashed = cut.select("uid", "piece", "body").mapInArrow(_pieces, "uid long, piece int, fp binary, n_bytes long")
+    hashed = cut.select("uid", "piece", "body").transform(in_arrow, _pieces, "uid long, piece int, fp binary, n_bytes long")
     facts = rows.where(F.col("n_points") > huge).select("uid", "doc_id", "n_points", sha.alias("sha"))
     parts = hashed.groupBy("uid").agg(F.collect_list(F.struct("piece", "fp", "n_bytes")).alias("parts"))
-    return small.unionByName(facts.join(parts, "uid").mapInArrow(_joined, _PRINTED))
+    return small.unionByName(facts.join(parts, "uid").transform(in_arrow, _joined, _PRINTED))
 
 
 def _chunk_rows(bits: bytes, width: int):
@@ -162,11 +162,11 @@ def collided(docs: DataFrame, groups: DataFrame) -> DataFrame:
     while width < 16 * repeated.count() and width < 1 << 28:
         width <<= 1
     bits = bytearray(width // 8)
-    blocks = repeated.select(_low("fp", width).alias("at")).repartition(F.shiftright("at", 15)).mapInArrow(_positions, "block long, bits binary")
+    blocks = repeated.select(_low("fp", width).alias("at")).repartition(F.shiftright("at", 15)).transform(in_arrow, _positions, "block long, bits binary")
     for row in blocks.toLocalIterator():
         whole = int.from_bytes(bits[row.block * 4096 : (row.block + 1) * 4096], "little") | int.from_bytes(row.bits, "little")
         bits[row.block * 4096 : (row.block + 1) * 4096] = whole.to_bytes(4096, "little")
-    rows = docs.select(text_or_empty().cast("binary").alias("body")).mapInArrow(_chunk_rows(bytes(bits), width), "fp binary, n_bytes long, chunk_no int, chunk binary")
+    rows = docs.select(text_or_empty().cast("binary").alias("body")).transform(in_arrow, _chunk_rows(bytes(bits), width), "fp binary, n_bytes long, chunk_no int, chunk binary")
     spread = rows.groupBy("fp", "n_bytes", "chunk_no").agg((F.min("chunk") != F.max("chunk")).alias("differ"))
     return spread.where("differ").select("fp", "n_bytes").distinct().join(repeated, ["fp", "n_bytes"], "left_semi")
 

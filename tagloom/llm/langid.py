@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import code_runs, fold, materialise, mixed, packed, slices, table
+from tagloom.llm.common import code_runs, fold, in_arrow, materialise, mixed, packed, slices, table
 
 ORDER = 4
 SLOTS, PROBES = 1 << 20, 3
@@ -69,7 +69,7 @@ def _slots(places: dict[str, int]):
 def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """The languages in order of code point, and the filter: (word, slot) -> mask."""
     train = docs.select("doc_id", "lang", "text").where((fold() != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = train.select("lang", "text").mapInArrow(_count, "lang string, key long, n long")
+    counts = train.select("lang", "text").transform(in_arrow, _count, "lang string, key long, n long")
     counts = materialise(counts.groupBy("lang", "key").agg(F.sum("n").alias("n")))
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(totals)
@@ -77,7 +77,7 @@ def learn(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     if langs:
         least = docs.sparkSession.createDataFrame([(x, float(totals[x]) * MIN_SHARE) for x in langs], "lang string, least double")
         own = counts.join(F.broadcast(least), "lang").where("n >= least").select("lang", "key")
-        sliced = own.mapInArrow(_slots({x: i for i, x in enumerate(langs)}), "slot long, word long, mask long")
+        sliced = own.transform(in_arrow, _slots({x: i for i, x in enumerate(langs)}), "slot long, word long, mask long")
         got = sliced.groupBy("slot", "word").agg(F.bit_or("mask").alias("mask")).toArrow()
         filt[np.asarray(got.column("word")), np.asarray(got.column("slot"))] = np.asarray(got.column("mask")).view(np.uint64)
     return langs, filt
@@ -130,7 +130,7 @@ def identify(docs: DataFrame) -> DataFrame:
     langs, filt = learn(docs)
     shared = docs.sparkSession.sparkContext.broadcast(filt)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold() == 0).alias("held_out"), "text")
-    return rows.mapInArrow(_predictor(langs, shared, false_rates(langs, filt)), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.transform(in_arrow, _predictor(langs, shared, false_rates(langs, filt)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def op9_langid(spark, sf_dir):

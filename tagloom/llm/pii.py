@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, slices, table
+from tagloom.llm.common import in_arrow, materialise, slices, table
 
 KEY = b"tagloom-surrogates"
 #: Given names by (gender, script).
@@ -230,7 +230,7 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
     pending, done, attempt = entities, None, 0
     known = entities.select("kind", F.col("canonical").alias("form"))
     while attempt == 0 or not pending.isEmpty():
-        drawn = materialise(pending.mapInArrow(_drawer(attempt, key), "kind string, canonical string, form string"))
+        drawn = materialise(pending.transform(in_arrow, _drawer(attempt, key), "kind string, canonical string, form string"))
         free = drawn.join(known, ["kind", "form"], "left_anti")
         if done is not None:
             free = free.join(done.select("kind", "form"), ["kind", "form"], "left_anti")
@@ -257,11 +257,11 @@ def _replacer(key: bytes):
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     """doc_id, n_entities and text with surrogates for each row of docs."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialise(rows.select("uid", "text").mapInArrow(_scan, "uid long, kind string, canonical string"))
+    found = materialise(rows.select("uid", "text").transform(in_arrow, _scan, "uid long, kind string, canonical string"))
     given = assign(found.select("kind", "canonical").distinct(), key)
     later = materialise(given.where("attempt > 0").select("kind", "canonical", "attempt"))
     again = found.join(later, ["kind", "canonical"]).groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("again"))
-    return rows.join(again, F.col("uid") == F.col("__uid"), "left").select("doc_id", "text", "again").mapInArrow(_replacer(key), "doc_id long, n_entities int, text string")
+    return rows.join(again, F.col("uid") == F.col("__uid"), "left").select("doc_id", "text", "again").transform(in_arrow, _replacer(key), "doc_id long, n_entities int, text string")
 
 
 def op3_pii(spark, sf_dir):

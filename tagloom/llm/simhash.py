@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, mixed, slices, table
+from tagloom.llm.common import in_arrow, materialise, mixed, slices, table
 from tagloom.llm.components import components
 
 SEED = 42
@@ -74,7 +74,7 @@ def _printer(shingle: int, words_64: int):
 def fingerprints(docs: DataFrame, shingle: int, words_64: int = 1) -> DataFrame:
     """uid, doc_id, fp (the first 64 bits as a signed long), wide (the other bits) and node (what tells fingerprints apart) of each row."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    out = rows.mapInArrow(_printer(shingle, words_64), "uid long, doc_id long, fp long, wide binary")
+    out = rows.transform(in_arrow, _printer(shingle, words_64), "uid long, doc_id long, fp long, wide binary")
     return out.withColumn("node", F.col("fp") if words_64 == 1 else F.xxhash64("fp", "wide"))
 
 
@@ -175,7 +175,7 @@ def links(prints: DataFrame, most: int, n_pieces: int, wide_most: int = 0, tile:
     """Edges (a, b) between nodes (node, fp, wide) within `most` bits (and wide_most of all bits, if wide), or a forest of them.
 
     Every pair within n_pieces - 2 bits shares a key; of pairs further apart those that agree on two pieces."""
-    tabled = materialise(prints.mapInArrow(_tabler, "node long, fp long, wide binary, distances binary"))
+    tabled = materialise(prints.transform(in_arrow, _tabler, "node long, fp long, wide binary, distances binary"))
     heavy = tabled.select(F.explode(_keys(n_pieces)).alias("key")).groupBy("key").count().where(F.col("count") > tile)
     heavy = materialise(heavy.select(F.col("key").alias("heavy_key"), F.ceil(F.col("count") / tile).cast("int").alias("tiles")))
     rows = tabled.select("node", "fp", "wide", "distances", F.explode(_keys(n_pieces)).alias("key"))
@@ -184,7 +184,7 @@ def links(prints: DataFrame, most: int, n_pieces: int, wide_most: int = 0, tile:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("node", "fp", "wide", "distances", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("run"))
     rows = rows.repartition("run").sortWithinPartitions("run")
-    return rows.mapInArrow(_linker(most, wide_most), "a long, b long").distinct()
+    return rows.transform(in_arrow, _linker(most, wide_most), "a long, b long").distinct()
 
 
 def near_classes(printed: DataFrame, most: int, n_pieces: int, wide_most: int = 0, id_col: str = "doc_id") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import materialise, slices, table
+from tagloom.llm.common import in_arrow, materialise, slices, table
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, MIN_RUN = 24, 256, 5, 128
 GEAR = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 32, 256, np.uint32)
@@ -90,7 +90,7 @@ def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def chunk_table(docs: DataFrame) -> DataFrame:
     """uid, rank (the order of documents), at, size, again, h1, h2 of every chunk."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.col("text").cast("binary").alias("body"))
-    return rows.mapInArrow(_chunker, "uid long, rank long, at int, size int, again boolean, h1 long, h2 long")
+    return rows.transform(in_arrow, _chunker, "uid long, rank long, at int, size int, again boolean, h1 long, h2 long")
 
 
 def runs(parts: list[tuple[int, int]], least: int = MIN_RUN) -> list[tuple[int, int]]:
@@ -147,7 +147,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     parts = found.groupBy("uid").agg(F.collect_list(F.struct("at", "size", "first")).alias("parts"))
     rows = docs.select(F.monotonically_increasing_id().alias("__uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
     rows = rows.join(parts, F.col("__uid") == F.col("uid"), "left").select("doc_id", "body", "parts")
-    return rows.mapInArrow(_remover, _OUT)
+    return rows.transform(in_arrow, _remover, _OUT)
 
 
 def op4_substring_dedup(spark, sf_dir):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import CODE_BITS, code_runs, fold, materialise, mixed, packed, slices, table, text_or_empty
+from tagloom.llm.common import CODE_BITS, code_runs, fold, in_arrow, materialise, mixed, packed, slices, table, text_or_empty
 
 #: Letters of a sequence, and the orders that it backs off to.
 ORDER, LOWER = 4, (2,)
@@ -117,7 +117,7 @@ def _slotter(salt: int):
 
 def slot_table(rows: DataFrame, salt: int) -> np.ndarray:
     """The ratios by slot, NaN where there are none: at most SLOTS rows come to the driver."""
-    sums = rows.mapInArrow(_slotter(salt), "slot int, llr double, c long").groupBy("slot").agg((F.sum(F.col("llr") * F.col("c")) / F.sum("c")).cast("float").alias("llr"))
+    sums = rows.transform(in_arrow, _slotter(salt), "slot int, llr double, c long").groupBy("slot").agg((F.sum(F.col("llr") * F.col("c")) / F.sum("c")).cast("float").alias("llr"))
     out = np.full(SLOTS, np.nan, np.float32)
     got = sums.toArrow()
     out[np.asarray(got.column("slot"))] = np.asarray(got.column("llr"))
@@ -181,15 +181,15 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if len(seen) < 2:
         out = rows.select(*own, F.lit(0.0).alias("llr"), F.lit(0).cast("long").alias("n"), F.lit(1.0 if 1 in seen else 0.0).alias("score"))
     else:
-        counts = train.where(fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_count, "key long, t long, o long")
+        counts = train.where(fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_arrow, _count, "key long, t long, o long")
         counts = materialise(counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
         model = [spark.sparkContext.broadcast(slot_table(x, i)) for i, x in enumerate(ratios(counts), 1)]
         share = min(1.0, CALIBRATION_ROWS * 5 / max(1, sum(seen.values())))
         tuned = train.where((fold() == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))))
-        got = tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")).mapInArrow(_scorer(model, ["toxic"]), "toxic int, llr double, n long").toPandas()
+        got = tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")).transform(in_arrow, _scorer(model, ["toxic"]), "toxic int, llr double, n long").toPandas()
         w = calibrate(got["llr"].to_numpy(), got["n"].to_numpy(), got["toxic"].to_numpy(float)) if got["toxic"].nunique() == 2 else [0.0, 1.0]
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
-        out = rows.mapInArrow(_scorer(model, own), kind + ", llr double, n long")
+        out = rows.transform(in_arrow, _scorer(model, own), kind + ", llr double, n long")
         z = F.lit(w[0]) + F.lit(w[1]) * F.col("llr") / F.greatest(F.col("n"), F.lit(1))
         out = out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
