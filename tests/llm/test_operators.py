@@ -250,6 +250,7 @@ def test_near_dedup(docs):
     kept = {r.doc_id for r in simhash.near_dedup(docs(*rows)).collect()}
     assert {200 + i for i in range(8)} <= kept
     assert all(len({i, 100 + i} & kept) == 1 for i in range(8))
+    assert kept == {r.doc_id for r in simhash.near_dedup(docs(*rows[::-1])).collect()}
     assert simhash.near_dedup(docs(*ODD)).columns == docs().columns
 
 
