@@ -204,9 +204,8 @@ def simhash_classes(docs: DataFrame, shingle: int, most: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents without near copies, one of each group staying: that of the smallest doc_id (null last, then by fingerprint),
-
-    so that the order of the input's files decides nothing.
+    """The documents without near copies, one of each group staying: that of the smallest doc_id (null last, then by fingerprint), so that the
+    order of the input's files decides nothing.
 
     Similarity of 5-word shingles of 0.8 or more: candidates are within NEAR bits of 64, by the pivot tables, and are verified on 256 bits,
     of which texts of Jaccard similarity 0.8 differ in 39 on average. Candidates up to 8 bits apart are found with certainty; of
