@@ -33,6 +33,12 @@ def test_oracle(spark, sf, name):
     assert sorted(rows, key=repr) == sorted(want, key=repr)
 
 
+def test_order_tables_hold_every_order(spark, sf):
+    lines = duckdb.connect().sql(f"SELECT l_orderkey, l_linenumber::INT, l_quantity::DOUBLE FROM '{sf}/lineitem.parquet'").fetchall()
+    got = QUERIES["order_tables"](spark, sf).select("orderkey", "line", "quantity").collect()
+    assert sorted(map(tuple, got)) == sorted(lines)
+
+
 @pytest.mark.parametrize("selector", ["p", "nav li:nth-child(odd) > a", "article > p ~ p", "h1 + p, footer", "div:not(.ad), [href^='/t']", "ul a", "li:nth-last-child(-n+2)", ":empty"])
 def test_plan_equals_tree(spark, sf, selector):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
