@@ -25,13 +25,12 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import in_arrow, materialise, mixed, slices, table
 from tagloom.llm.components import components
+from tagloom.llm.minhash import similar_classes
 
 SEED = 42
 PIVOTS = 16
 #: Fingerprints of one key that a task pairs at once; more are dealt to tiles.
 TILE = 2048
-#: near_dedup(): bits of 64 for candidates, pieces for keys, bits of 256 for links.
-NEAR, NEAR_PIECES, NEAR_WIDE = 12, 10, 40
 
 
 def simhash(text: bytes | None, shingle: int, seed: int = SEED, words_64: int = 1) -> int:
@@ -204,16 +203,10 @@ def simhash_classes(docs: DataFrame, shingle: int, most: int) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """The documents without near copies, one of each group staying: that of the smallest doc_id (null last, then by fingerprint), so that the
-    order of the input's files decides nothing.
-
-    Similarity of 5-word shingles of 0.8 or more: candidates are within NEAR bits of 64, by the pivot tables, and are verified on 256 bits,
-    of which texts of Jaccard similarity 0.8 differ in 39 on average. Candidates up to 8 bits apart are found with certainty; of
-    those 12 bits apart nine in ten."""
-    printed = materialise(fingerprints(docs, 5, 4))
-    classes = near_classes(printed, NEAR, NEAR_PIECES, NEAR_WIDE, "uid")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "uid"))
-    kept = classes.groupBy("component_id").agg(best.alias("best")).select(F.col("best.uid").alias("uid"))
+    """The documents without near copies, one of each group staying: that of the smallest doc_id (null last, then by its set of shingles), so
+    that the order of the input's files decides nothing. Links are pairs of a Jaccard similarity of 5-word shingles of 0.8 or more."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node", "uid"))
+    kept = similar_classes(docs).groupBy("root").agg(best.alias("best")).select(F.col("best.uid").alias("uid"))
     return docs.withColumn("__uid", F.monotonically_increasing_id()).join(kept, F.col("__uid") == F.col("uid"), "left_semi").select(*docs.columns)
 
 

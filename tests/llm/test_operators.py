@@ -254,6 +254,21 @@ def test_near_dedup(docs):
     assert simhash.near_dedup(docs(*ODD)).columns == docs().columns
 
 
+def test_near_dedup_at_the_threshold(docs):
+    # 450 shingles; each changed word costs five: 10 of them give a similarity of 0.8, 11 of 0.782.
+    rnd = random.Random(80)
+    rows = []
+    for i in range(120):
+        words = ["w%06d" % rnd.randrange(999_999) for _ in range(454)]
+        rows.append((i, " ".join(words)))
+        for at in rnd.sample(range(4, 450, 6), 10 if i < 80 else 11):
+            words[at] = "x%06d" % rnd.randrange(999_999)
+        rows.append((1000 + i, " ".join(words)))
+    kept = {r.doc_id for r in simhash.near_dedup(docs(*rows)).collect()}
+    assert {i for i in range(80) if 1000 + i in kept} == set()
+    assert kept >= {1000 + i for i in range(80, 120)} | set(range(120))
+
+
 # ---- op6 ----
 
 
