@@ -7,9 +7,9 @@ is smoothed by shared backoff counts and says little, while one that only toxic
 under the models are compared after normalisation by length: their difference over the number of letters is the input of a logistic
 calibration.
 
-Counts come from all labelled texts of folds 2 to 4, the calibration from those of fold 1; fold 0 is held out. Counts, model and tables
-are made by Spark; what each task holds is two tables of log ratios with a fixed number of slots (4 MB each), in which colliding
-sequences share a count-weighted mean.
+Counts come from all labelled texts of folds 2 to 4, the calibration from those of fold 1; fold 0 is held out. Counts and model are made
+by Spark. Each sequence keeps its own log ratio: up to BROADCAST_SEQUENCES of them every task holds two hash tables of sequences and ratios
+that grow with their number (24 to 48 bytes a sequence); beyond, the sequences of the texts are joined with the ratios.
 
 Defined results: null and empty texts get the score of a text without evidence; labels that are null or other than 0 and 1 are not
 learned from, of several labels of a doc_id the greatest counts; without both labels in the training rows every score is the share of
@@ -32,7 +32,8 @@ from tagloom.llm.common import CODE_BITS, code_runs, fold, in_arrow, materialise
 #: Letters of a sequence, and the orders that it backs off to.
 ORDER, LOWER = 4, (2,)
 DISCOUNT = 0.5
-SLOTS = 1 << 20
+#: Sequences up to this number are held by every task; more are joined by a shuffle.
+BROADCAST_SEQUENCES = 2_000_000
 #: Labels up to this number are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_LABELS = 2_000_000
 #: Rows of the calibration fold to fit two numbers on: an expected bound, drawn by a hash of the id.
@@ -101,40 +102,55 @@ def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(F.col(f"s{x}") > 0, own).otherwise(F.col("b"))
 
     spare = lambda x: F.when(F.col(f"s{x}") > 0, DISCOUNT * F.col(f"n{x}") / F.col(f"s{x}")).otherwise(F.lit(1.0))
-    grams = top.select("key", (F.log(chance("t")) - F.log(chance("o"))).alias("llr"), "c")
-    contexts = top.groupBy(F.shiftright("key", CODE_BITS).alias("key")).agg(F.first(F.log(spare("t")) - F.log(spare("o"))).alias("llr"), F.sum("c").alias("c"))
+    grams = top.select("key", (F.log(chance("t")) - F.log(chance("o"))).cast("float").alias("llr"))
+    contexts = top.groupBy(F.shiftright("key", CODE_BITS).alias("key")).agg(F.first(F.log(spare("t")) - F.log(spare("o"))).cast("float").alias("llr"))
     return grams, contexts
 
 
-def _slotter(salt: int):
-    def run(batches):
-        for b in batches:
-            slot = (mixed(np.asarray(b.column("key")), salt) & np.uint64(SLOTS - 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(slot), b.column("llr"), b.column("c")], ["slot", "llr", "c"])
-
-    return run
-
-
-def slot_table(rows: DataFrame, salt: int) -> np.ndarray:
-    """The ratios by slot, NaN where there are none: at most SLOTS rows come to the driver."""
-    sums = rows.transform(in_arrow, _slotter(salt), "slot int, llr double, c long").groupBy("slot").agg((F.sum(F.col("llr") * F.col("c")) / F.sum("c")).cast("float").alias("llr"))
-    out = np.full(SLOTS, np.nan, np.float32)
-    got = sums.toArrow()
-    out[np.asarray(got.column("slot"))] = np.asarray(got.column("llr"))
-    return out
-
-
-def evidence(text: str, grams: np.ndarray, contexts: np.ndarray) -> tuple[float, int]:
+class Ratios:
+    """Sequences and their ratios by open addressing, between a quarter and a half of the slots filled."""
+
+    def __init__(self, rows: DataFrame):
+        got = rows.toArrow()
+        keys, values = np.asarray(got.column("key")), np.asarray(got.column("llr"))
+        self.last = (2 << max(3, len(keys).bit_length())) - 1
+        self.keys, self.values = np.full(self.last + 1, -1, np.int64), np.full(self.last + 1, np.nan, np.float32)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[at[left]] < 0]
+            put = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[put]], self.values[at[put]] = keys[put], values[put]
+            left = left[self.keys[at[left]] != keys[left]]
+            at[left] = (at[left] + 1) & self.last
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return (mixed(keys, 1) & np.uint64(self.last)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The ratios, NaN where there are none."""
+        at = self._home(keys)
+        held, out = self.keys[at], self.values[at]
+        left = np.flatnonzero(held != keys)
+        while len(left):
+            out[left] = np.nan
+            left = left[self.keys[at[left]] >= 0]
+            at[left] = (at[left] + 1) & self.last
+            out[left] = self.values[at[left]]
+            left = left[self.keys[at[left]] != keys[left]]
+        return out
+
+
+def evidence(text: str, grams: Ratios, contexts: Ratios) -> tuple[float, int]:
     """Toxic minus ordinary log-likelihood, and the number of letters that it is a sum over."""
     total, n = 0.0, 0
     for codes in code_runs(text, ORDER - 1):
         keys = packed(codes, ORDER)
         if not len(keys):
             continue
-        got = grams[mixed(keys, 1) & np.uint64(SLOTS - 1)]
+        got = grams.find(keys)
         unseen = np.flatnonzero(np.isnan(got))
         if len(unseen):
-            got[unseen] = np.nan_to_num(contexts[mixed(keys[unseen] >> CODE_BITS, 2) & np.uint64(SLOTS - 1)])
+            got[unseen] = np.nan_to_num(contexts.find(keys[unseen] >> CODE_BITS))
         total += float(got.sum(dtype=np.float64))
         n += len(keys)
     return total, n
@@ -150,6 +166,25 @@ def _scorer(model, kept: list[str]):
     return run
 
 
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        for uid, text in zip(b.column("__uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
+            for codes in code_runs(text, ORDER - 1):
+                keys, n = np.unique(packed(codes, ORDER), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), uid, np.int64)), pa.array(keys), pa.array(n.astype(np.int64))], ["__uid", "key", "n"])
+
+
+def weighed(rows: DataFrame, grams: DataFrame, contexts: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns `kept` of rows, with llr and n of __text by joins with the ratios."""
+    rows = rows.withColumn("__uid", F.monotonically_increasing_id())
+    found = rows.select("__uid", "__text").transform(in_arrow, _sequences, "__uid long, key long, n long")
+    found = found.join(grams, "key", "left").withColumn("__context", F.shiftright("key", CODE_BITS))
+    backed = contexts.select(F.col("key").alias("__context"), F.col("llr").alias("__back"))
+    found = found.join(backed, "__context", "left").withColumn("llr", F.coalesce("llr", "__back", F.lit(0.0)).cast("double"))
+    sums = materialise(found.groupBy("__uid").agg(F.sum(F.col("llr") * F.col("n")).alias("llr"), F.sum("n").alias("n")))
+    return rows.join(sums, "__uid", "left").select(*kept, F.coalesce("llr", F.lit(0.0)).alias("llr"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
 def _inputs(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
     n = np.maximum(n, 1)
     return np.stack([np.ones(len(n)), llr / n], axis=1)
@@ -183,13 +218,19 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     else:
         counts = train.where(fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_arrow, _count, "key long, t long, o long")
         counts = materialise(counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
-        model = [spark.sparkContext.broadcast(slot_table(x, i)) for i, x in enumerate(ratios(counts), 1)]
+        grams, contexts = (materialise(x) for x in ratios(counts))
+        if grams.count() <= BROADCAST_SEQUENCES:
+            model = [spark.sparkContext.broadcast(Ratios(x)) for x in (grams, contexts)]
+            weigh = lambda df, kept, kind: df.transform(in_arrow, _scorer(model, kept), kind + ", llr double, n long")
+        else:
+            weigh = lambda df, kept, kind: weighed(df, grams, contexts, kept)
         share = min(1.0, CALIBRATION_ROWS * 5 / max(1, sum(seen.values())))
         tuned = train.where((fold() == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))))
-        got = tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")).transform(in_arrow, _scorer(model, ["toxic"]), "toxic int, llr double, n long").toPandas()
+        tuned = materialise(tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")))
+        got = weigh(tuned, ["toxic"], "toxic int").toPandas()
         w = calibrate(got["llr"].to_numpy(), got["n"].to_numpy(), got["toxic"].to_numpy(float)) if got["toxic"].nunique() == 2 else [0.0, 1.0]
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
-        out = rows.transform(in_arrow, _scorer(model, own), kind + ", llr double, n long")
+        out = weigh(rows, own, kind)
         z = F.lit(w[0]) + F.lit(w[1]) * F.col("llr") / F.greatest(F.col("n"), F.lit(1))
         out = out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

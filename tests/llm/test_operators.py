@@ -11,6 +11,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tagloom.llm import ann, bpe, common, exact_dedup, langid, mixing, pii, sharding, simhash, substring_dedup, toxicity
 from tagloom.llm.components import components
@@ -294,6 +295,24 @@ def test_toxicity_held_out(spark, docs):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_toxicity_of_many_sequences(spark, docs, monkeypatch):
+    # About 360,000 different sequences: each keeps its own ratio, held by the tasks or joined.
+    rnd = random.Random(66)
+    letters = [chr(c) for c in range(0x3B1, 0x3CA)] + [chr(97 + i) for i in range(26)] + [chr(c) for c in range(0x430, 0x450)]
+    rows = [(i, "".join(rnd.choices(letters, k=20_000))) for i in range(30)]
+    df, labels = docs(*rows, (30, ""), (31, None)), spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    got = {r.doc_id: r.llr for r in toxicity.scored(df, labels).collect()}
+    train = toxicity.labelled(df, labels).where(common.fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic"))
+    counts = common.materialise(train.transform(common.in_arrow, toxicity._count, "key long, t long, o long").groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    grams, contexts = ({r.key: r.llr for r in x.select("key", "llr").collect()} for x in toxicity.ratios(counts))
+    assert len(grams) > 200_000
+    for i, text in rows[:6]:
+        keys = [int(k) for codes in common.code_runs(text, 3) for k in common.packed(codes, 4)]
+        assert got[i] == pytest.approx(sum(grams.get(k, contexts.get(k >> 10, 0.0)) for k in keys), rel=1e-3, abs=1e-2)
+    monkeypatch.setattr(toxicity, "BROADCAST_SEQUENCES", 0)
+    assert {r.doc_id: r.llr for r in toxicity.scored(df, labels).collect()} == pytest.approx(got, rel=1e-6, abs=1e-6)
+
+
 def test_toxicity_without_labels(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     assert [r.score for r in toxicity.score_documents(docs((1, "a"), (2, None)), labels).collect()] == [0.0, 0.0]
