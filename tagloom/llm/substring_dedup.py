@@ -1,6 +1,6 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
-A text's UTF-8 bytes are cut where the five high bits of a 32-bit gear hash (h = 2 h + GEAR[byte]) are zero, at least MIN_CHUNK bytes after
+A text's UTF-8 bytes are cut where the four high bits of a 32-bit gear hash (h = 2 h + GEAR[byte]) are zero, at least MIN_CHUNK bytes after
 the last cut and at most MAX_CHUNK, so cuts depend on the 32 bytes before them and come back after an insertion. Chunks are compared
 by their BLAKE2b digests (16 bytes) over the whole table. A chunk is repeated if its digest occurred earlier in its text or in a document of
 smaller doc_id. Runs of adjacent repeated chunks of MIN_RUN bytes or more are removed; shorter ones are chance and stay.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import in_arrow, materialise, slices, table
 
-MIN_CHUNK, MAX_CHUNK, CUT_BITS, MIN_RUN = 24, 256, 5, 128
+MIN_CHUNK, MAX_CHUNK, CUT_BITS, MIN_RUN = 12, 256, 4, 128
 GEAR = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 32, 256, np.uint32)
 #: Bytes that are hashed at once.
 PIECE = 1 << 20

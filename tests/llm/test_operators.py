@@ -176,6 +176,17 @@ def test_repeated_passages(docs):
         assert left.decode() == r.text
 
 
+def test_passages_of_51_words_are_found():
+    rnd = random.Random(51)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(rnd.choice([2, 3, 3, 4, 4, 5, 5, 6, 7, 8, 9, 9, 10]))) for _ in range(n))
+    pieces = lambda d: [(a, d[a:b]) for a, b in zip([0, *substring_dedup.cuts(d)], substring_dedup.cuts(d))]
+    for _ in range(400):
+        passage = words(51)
+        first, second = (f"{words(rnd.randrange(20, 90))} {passage} {words(40)}".encode() for _ in range(2))
+        known = {x for _, x in pieces(first)}
+        assert substring_dedup.runs([(at, len(x)) for at, x in pieces(second) if x in known])
+
+
 # ---- op5 ----
 
 
