@@ -87,7 +87,7 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = WEIGHTS,
 
 def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """The mix itself: each document as often as it is taken, with its own columns."""
-    taken = mix(docs, seed).where("taken > 0").select("uid", "copies")
+    taken = mix(docs, seed).where("copies > 0").select("uid", "copies")
     tagged = docs.withColumn("__uid", F.monotonically_increasing_id()).join(taken, F.col("__uid") == F.col("uid"))
     return tagged.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
 

@@ -457,3 +457,12 @@ def test_mixing_of_odd_tables(docs):
     assert len(rows) == len(ODD)
     assert sum(r.taken for r in rows) == sum(r.size for r in rows)  # one source: its target is its size
     assert mixing.mix(docs()).count() == 0
+
+
+def test_mixing_keeps_documents_without_words(docs):
+    # Equal words and weights 1 and 2: the second source takes each of its documents at least once, the empty ones too.
+    rows = [(i, "a b c d", None, "ab"[i % 2]) for i in range(40)] + [(100, "", None, "b"), (101, None, None, "b"), (102, " \n", None, "b")]
+    copies = {r.doc_id: r.copies for r in mixing.mix(docs(*rows)).collect()}
+    got = collections.Counter(r.doc_id for r in mixing.mixed_documents(docs(*rows)).collect())
+    assert min(copies[x] for x in (100, 101, 102)) >= 1
+    assert got == {k: n for k, n in copies.items() if n}
