@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, of the same type, and consistent over the whole corpus.
 
 Detected: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs, social security numbers, telephone numbers, secrets after
-names such as token or password, and person names (a listed given name or a title before capitalised words). Each entity is reduced
+names such as token or password, and person names (a listed given name or a title before capitalised words, and all other mentions of
+the names so found in the same document). Each entity is reduced
 to a canonical form and replaced by a form drawn from HMAC-SHA256 of the key, its type, its canonical form and a number of attempts; so the
 same entity gets the same surrogate in every document and format (coreference). Surrogates keep the type's checks (Luhn, mod 97),
 the length, the class of each character, the mention's punctuation and case; given names keep gender and script, family names the script.
@@ -51,9 +52,10 @@ _NUMBER = re.compile(
     r"|(?<!\w)(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
     r"|(?<![\w.-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4})(?!\w|\.\d)"
+    r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?(?:\d{2,4}(?:[ .-]\d{2,4}|[ -]\d{5,8}){1,4}|\d{5,8}(?:[ -]\d{2,8}){1,4})|\+\d{7,15}|\d{10,12})(?!\w|\.\d)"
 )
 _DIGIT = re.compile(r"\d")
+_LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -101,6 +103,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             else:
                 canonical = digits
             found.append((m.start(), m.end(), kind, canonical))
+    names: dict[str, tuple[str, str]] = {}
     for m in _NAME.finditer(text):
         for w in re.finditer(r"[^\W\d_]+", m[0]):
             word = w[0]
@@ -108,6 +111,9 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                 continue
             kind = "given" if word in _PLACE else f"family-{script(word)}"
             found.append((m.start() + w.start(), m.start() + w.end(), kind, word if kind == "given" else word.casefold()))
+            names.setdefault(word, found[-1][2:])
+    if names:  # the same names without a title or a given name before them
+        found += [(m.start(), m.end(), *names[m[0]]) for m in _LETTERS.finditer(text) if m[0] in names]
     found.sort(key=lambda x: (x[0], -x[1]))
     out: list[tuple[int, int, str, str]] = []
     for x in found:

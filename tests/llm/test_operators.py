@@ -115,6 +115,17 @@ def test_pii(docs):
     assert re.search("password=[0-9a-f]{14},", got[1])
 
 
+def test_pii_numbers_and_bare_names(docs):
+    numbers = ["+15551234567", "5551234567", "+442079460958", "030 1234567", "+49 30 12345678"]
+    for x in numbers:
+        assert [(m[2], m[0], m[1]) for m in pii.mentions(f"call {x}.")] == [("phone", 5, 5 + len(x))], x
+    assert pii.mentions("on 2024-01-15 pi was 3.14159265358 and 12.3456789, part 123456") == []
+    text = "Alice Novak wrote. Later Alice met Dr Smith; Smith and Novak left Alicetown."
+    got = next(r.text for r in pii.pseudonymise(docs((1, text))).collect())
+    a, n, a2, s, s2, n2 = re.fullmatch(r"(\w+) (\w+) wrote. Later (\w+) met Dr (\w+); (\w+) and (\w+) left Alicetown.", got).groups()
+    assert (a, n, s) == (a2, n2, s2) and not {a, n, s} & {"Alice", "Novak", "Smith"}
+
+
 def test_pii_collisions(spark):
     rows = [("email", f"{c}@e.org") for c in "abcdefghijklmnopqrstuvwxyz"]
     out = pii.assign(spark.createDataFrame(rows, "kind string, canonical string")).collect()
