@@ -15,17 +15,19 @@ from __future__ import annotations
 import base64
 import functools
 import json
+import os
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import in_arrow, slices, table, text_or_empty
+from tagloom.llm.common import UID, addressed, fresh, in_arrow, quoted, slices, table, text_or_empty
 
 #: Where the public vocabularies lie.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 #: How the vocabulary cuts text (a fixed value of its format).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters of a document, or of a run without a place to cut, above which it is encoded in parts; bytes of a leaf; first window.
@@ -178,11 +180,11 @@ def _batched(batch: pa.RecordBatch, found: Iterator[np.ndarray], name: str, drop
             first, held, size = i + 1, [], 0
 
 
-def _encode_whole(folder: str, decoded: bool):
+def _encode_whole(folder: str, decoded: bool, name: str):
     def run(batches):
         c = codec(folder)
         for b in slices(batches):
-            yield from _batched(b, (np.array(c.encode(x), np.int32) for x in b.column("__text").to_pylist()), "ids", "__text", c if decoded else None)
+            yield from _batched(b, (np.array(c.encode(x), np.int32) for x in b.column(name).to_pylist()), "ids", name, c if decoded else None)
 
     return run
 
@@ -191,9 +193,10 @@ def _split(folder: str, segment: int):
     def run(batches):
         c = codec(folder)
         for b in slices(batches):
-            for uid, text in zip(b.column("__uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
+            for i, text in enumerate(b.column("text").to_pylist()):
                 parts = list(c.segments(text, segment))
-                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()), pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["__uid", "part", "run", "data"])
+                own = b.column("uid").slice(i, 1).take(pa.array([0] * len(parts), pa.int32()))
+                yield pa.RecordBatch.from_arrays([own, pa.array(range(len(parts)), pa.int32()), pa.array([r for r, _ in parts], pa.int32()), pa.array([x for _, x in parts], pa.binary())], ["uid", "part", "run", "data"])
 
     return run
 
@@ -219,22 +222,23 @@ def _merge(folder: str, decoded: bool):
 
 
 def _schema(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
 def encode(df: DataFrame, text_col: str = "text", folder: str = TOKENIZERS, segment: int = SEGMENT, decoded: bool = False) -> DataFrame:
     """df without the text and with ids (array of int). Documents over `segment` characters are encoded in parallel parts.
 
     With `decoded` also a column of that name: the ids decoded again by the worker that has them, without another round of workers."""
-    rest = [c for c in df.columns if c not in {text_col, "ids"} and not (decoded and c == "decoded")]
-    rows = df.select(*rest, text_or_empty(text_col).alias("__text"))
+    rest = quoted(df, text_col, "ids", *["decoded"] * decoded)
+    rows = df.select(*rest, text_or_empty(text_col).alias(text := fresh(df, "__text")))
     kind = ", ".join(filter(None, [_schema(df.select(*rest)) if rest else "", "ids array<int>" + ", decoded string" * decoded]))
-    short = rows.where(F.length("__text") <= segment).transform(in_arrow, _encode_whole(folder, decoded), kind)
-    long = rows.withColumn("__uid", F.monotonically_increasing_id()).where(F.length("__text") > segment)
-    parts = long.select("__uid", "__text").transform(in_arrow, _split(folder, segment), "__uid long, part int, run int, data binary")
-    parts = parts.repartition(F.col("__uid"), F.col("part")).transform(in_arrow, _encode_parts(folder), "__uid long, part int, run int, ids array<int>")
-    whole = parts.groupBy("__uid").agg(F.collect_list(F.struct("part", "run", "ids")).alias("parts")).transform(in_arrow, _merge(folder, decoded), "__uid long, ids array<int>" + ", decoded string" * decoded)
-    return short.unionByName(long.drop("__text").join(whole, "__uid").drop("__uid"))
+    short = rows.where(F.length(text) <= segment).transform(in_arrow, _encode_whole(folder, decoded, text), kind)
+    long, uid = addressed(rows.where(F.length(text) > segment))
+    parts = long.select(F.col(uid).alias("uid"), F.col(text).alias("text")).transform(in_arrow, _split(folder, segment), f"uid {UID}, part int, run int, data binary")
+    parts = parts.repartition("uid", "part").transform(in_arrow, _encode_parts(folder), f"uid {UID}, part int, run int, ids array<int>")
+    whole = parts.groupBy("uid").agg(F.collect_list(F.struct("part", "run", "ids")).alias("parts")).transform(in_arrow, _merge(folder, decoded), f"uid {UID}, ids array<int>" + ", decoded string" * decoded)
+    whole = whole.withColumnRenamed("uid", key := fresh(long, "__long"))
+    return short.unionByName(long.join(whole, F.col(uid) == F.col(key)).drop(text, uid, key))
 
 
 def _decode(folder: str):

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,49 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(df: DataFrame, *without: str) -> list[Column]:
+    """The columns of df, whatever characters their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in without]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A name like this one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: Of a row's address: its file and its place there.
+UID = "struct<file: bigint, row: bigint>"
+
+
+def _of_files(df: DataFrame, whole: bool) -> bool:
+    """Whether df is rows of one table of files, without joins, unions or the like (and without filters, if whole)."""
+    node = df._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "SubqueryAlias") or node.nodeName() == "Filter" and not whole:
+        node = node.children().head()
+    return node.nodeName() == "LogicalRelation" and "_metadata" not in {c.lower() for c in df.columns}
+
+
+def addressed(df: DataFrame, whole: bool = False) -> tuple[DataFrame, str]:
+    """df with one more column, and that column's name: an address of the row that is the same in every read.
+
+    Rows of files have their file and their place in it, however the files are cut into tasks. All other rows are written once with a number.
+    If `whole`, the places of a file (or task) have no gaps."""
+    name = fresh(df, "__uid")
+    if _of_files(df, whole):
+        where = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+        return df.select("*", where.alias(name)), name
+    where = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return materialise(df.select("*", where.alias(name))), name
+
+
 #: Bytes of an Arrow batch between the JVM and a Python worker; a single longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 
 
-def in_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow with batches of bounded size, whatever the length of the texts (a setting of the session, read when the plan runs)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(f, schema)
@@ -66,6 +105,33 @@ def slices(batches):
             yield b.slice(at, SLICE)
 
 
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[int, np.ndarray] = {}
+    for b in batches:
+        at = np.asarray(b.column("at"))
+        for block in np.unique(at >> 15):
+            held = blocks.setdefault(int(block), np.zeros(4096, np.uint8))
+            own = at[at >> 15 == block] & 0x7FFF
+            np.bitwise_or.at(held, own >> 3, (1 << (own & 7)).astype(np.uint8))
+    if blocks:
+        yield pa.RecordBatch.from_arrays([pa.array(blocks.keys(), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], ["block", "bits"])
+
+
+def bit_width(n: int) -> int:
+    """Bits for a set of n places: 16 to 32 a place, and at most 2**28 (32 MB); beyond, the set lets more through but never less."""
+    return min(max(1 << 20, 1 << (16 * n).bit_length()), 1 << 28)
+
+
+def bit_set(places: DataFrame, width: int) -> bytes:
+    """The bits at the places (column `at`, below width)."""
+    bits = bytearray(width // 8)
+    blocks = places.select("at").repartition(F.shiftright("at", 15)).transform(in_arrow, _positions, "block long, bits binary")
+    for row in blocks.toLocalIterator():
+        whole = int.from_bytes(bits[row.block * 4096 : (row.block + 1) * 4096], "little") | int.from_bytes(row.bits, "little")
+        bits[row.block * 4096 : (row.block + 1) * 4096] = whole.to_bytes(4096, "little")
+    return bytes(bits)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c, F.lit(""))
@@ -92,18 +158,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- letter codes: 10 bits a character, for packed n-grams -------------------------------------------------------
+# ---- letter codes: 16 bits a character, for packed n-grams of up to four ------------------------------------------
 
 BOUNDARY = 1
-CODE_BITS = 10
+CODE_BITS = 16
 
 
 @functools.cache
 def _code_table() -> np.ndarray:
-    """Code of each code point: BOUNDARY for what is no letter; letters wrap at 1021, so those of Latin, Greek and basic Cyrillic differ."""
+    """Code of each code point: BOUNDARY for what is no letter; letters of the basic plane all differ, those beyond it share their codes."""
     t = np.full(0x110000, BOUNDARY, np.uint16)
     letters = np.array([i for i in range(0x110000) if not 0xD800 <= i < 0xE000 and chr(i).isalpha()], np.int64)
-    t[letters] = 2 + letters % 1021
+    t[letters] = 2 + letters % 65_533
     return t
 
 
@@ -130,7 +196,7 @@ def code_runs(text: str, keep: int, piece: int = 1 << 20) -> Iterator[np.ndarray
 
 
 def packed(codes: np.ndarray, n: int) -> np.ndarray:
-    """n-grams of codes as int64, the first character in the highest bits."""
+    """n-grams of codes as int64, the first character in the highest bits (that of the sign, if n is 4)."""
     m = len(codes) - n + 1
     if m <= 0:
         return np.empty(0, np.int64)

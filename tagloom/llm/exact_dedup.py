@@ -2,11 +2,12 @@
 
 A text is normalised by deleting white space (0x20, 0x09-0x0D). Its bytes, read as one number in base 256, are taken modulo
 a 127-bit prime. Fingerprints compose: F(a + b) = F(a) * 256**len(b) + F(b), so pieces of huge documents are hashed in
-parallel and put together by length-shifted arithmetic. Texts of equal fingerprint and length are then compared chunk by
+parallel and put together by length-shifted arithmetic: one pass cuts a huge text (and takes its SHA-256, which nothing can parallelise),
+its pieces are dealt to all tasks, hashed there and composed. Texts of equal fingerprint and length are then compared chunk by
 chunk (the least and the greatest chunk of each place must agree); a group that fails is split by SHA-256.
 
 Defined results: null text counts as empty; a null doc_id ranks after all others; of repeated rows exactly one is kept; extra
-columns are ignored; an empty table gives an empty result.
+columns are ignored by the query and kept by kept_documents(), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import SPACE_BYTES, in_arrow, materialise, slices, text_or_empty
+from tagloom.llm.common import SPACE_BYTES, UID, addressed, bit_set, bit_width, in_arrow, materialise, quoted, slices, text_or_empty
 
 #: A prime of 127 bits.
 MODULUS = 89410556338362034677157363187998816313
 #: Bytes hashed at once.
 CHUNK = 1 << 16
-#: Documents of more characters are cut and hashed in parallel.
+#: Documents of more characters are cut into pieces of so many bytes, which are hashed in parallel.
 HUGE = 1 << 15
 _FULL_SHIFT = pow(256, CHUNK, MODULUS)
 
@@ -68,10 +69,24 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("n_points"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), pa.array(shas, pa.string())], ["uid", "doc_id", "n_points", "fp", "n_bytes", "sha"])
 
 
+def _cutter(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            for i, raw in enumerate(b.column("body").to_pylist()):
+                data = normalised(raw)
+                parts = list(chunks(data, size)) or [b""]
+                own = b.slice(i, 1).take(pa.array([0] * len(parts), pa.int32()))
+                more = (pa.array([hashlib.sha256(data).hexdigest()] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary()))
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in ("uid", "doc_id", "n_points")), *more], ["uid", "doc_id", "n_points", "sha", "piece", "data"])
+
+    return run
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        data = [normalised(x) for x in b.column("body").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("piece"), pa.array([_pack(fingerprint_stream(x)) for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64())], ["uid", "piece", "fp", "n_bytes"])
+        data = b.column("data").to_pylist()
+        prints = (pa.array([_pack(fingerprint_stream(x)) for x in data], pa.binary()), pa.array([len(x) for x in data], pa.int64()))
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], *prints], [*b.schema.names[:5], "fp", "n_bytes"])
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,26 +102,23 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), b.column("n_points"), pa.array(prints, pa.binary()), pa.array(sizes, pa.int64()), b.column("sha")], ["uid", "doc_id", "n_points", "fp", "n_bytes", "sha"])
 
 
-_PRINTED = "uid long, doc_id long, n_points long, fp binary, n_bytes long, sha string"
+_PRINTED = f"uid {UID}, doc_id long, n_points long, fp binary, n_bytes long, sha string"
 
 
 def fingerprints(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """uid, doc_id, n_points (code points), fp, n_bytes and sha of each row's normalised text."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("body"))
-    rows = rows.withColumn("n_points", F.length("body").cast("long"))
-    small = rows.where(F.col("n_points") <= huge).select("uid", "doc_id", "n_points", F.col("body").cast("binary").alias("body")).transform(in_arrow, _whole, _PRINTED)
-    sha = F.sha2(F.translate("body", " \t\n\x0b\x0c\r", "").cast("binary"), 256)
-    cut = rows.where(F.col("n_points") > huge).withColumn("sha", sha)
-    cut = cut.select("uid", "doc_id", "n_points", "sha", "body", F.explode(F.sequence(F.lit(0), ((F.col("n_points") - 1) / huge).cast("int"))).alias("piece"))
-    cut = cut.select("uid", "doc_id", "n_points", "sha", "piece", F.substring("body", F.col("piece") * huge + 1, F.lit(huge)).cast("binary").alias("body"))
-    hashed = cut.select("uid", "piece", "body").transform(in_arrow, _pieces, "uid long, piece int, fp binary, n_bytes long")
-    facts = rows.where(F.col("n_points") > huge).select("uid", "doc_id", "n_points", sha.alias("sha"))
-    parts = hashed.groupBy("uid").agg(F.collect_list(F.struct("piece", "fp", "n_bytes")).alias("parts"))
-    return small.unionByName(facts.join(parts, "uid").transform(in_arrow, _joined, _PRINTED))
-
-
-def _chunk_rows(bits: bytes, width: int):
+    """uid, doc_id, n_points (code points), fp, n_bytes and sha of the normalised text of each row (uid, doc_id, text)."""
+    rows = docs.select("uid", F.col("doc_id").cast("long").alias("doc_id"), F.length(text_or_empty()).cast("long").alias("n_points"), text_or_empty().cast("binary").alias("body"))
+    small = rows.where(F.col("n_points") <= huge).transform(in_arrow, _whole, _PRINTED)
+    known = f"uid {UID}, doc_id long, n_points long, sha string, piece int"
+    cut = rows.where(F.col("n_points") > huge).transform(in_arrow, _cutter(huge), f"{known}, data binary")
+    hashed = cut.repartition("uid", "piece").transform(in_arrow, _pieces, f"{known}, fp binary, n_bytes long")
+    parts = hashed.groupBy("uid", "doc_id", "n_points", "sha").agg(F.collect_list(F.struct("piece", "fp", "n_bytes")).alias("parts"))
+    return small.unionByName(parts.transform(in_arrow, _joined, _PRINTED))
+
+
+def _chunk_rows(shared, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
         for b in slices(batches):
             out: tuple[list, list, list, list] = ([], [], [], [])
             held = 0
@@ -139,43 +151,21 @@ def _low(fp, width: int):
     return F.pmod(F.conv(F.right(F.hex(fp), F.lit(8)), 16, 10).cast("long"), F.lit(width))
 
 
-def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
-
-    blocks: dict[int, np.ndarray] = {}
-    for b in batches:
-        at = np.asarray(b.column("at"))
-        for block in np.unique(at >> 15):
-            held = blocks.setdefault(int(block), np.zeros(4096, np.uint8))
-            own = at[at >> 15 == block] & 0x7FFF
-            np.bitwise_or.at(held, own >> 3, (1 << (own & 7)).astype(np.uint8))
-    if blocks:
-        yield pa.RecordBatch.from_arrays([pa.array(blocks.keys(), pa.int64()), pa.array([x.tobytes() for x in blocks.values()], pa.binary())], ["block", "bits"])
-
-
 def collided(docs: DataFrame, groups: DataFrame) -> DataFrame:
     """(fp, n_bytes) of the groups of two or more whose texts differ in some chunk.
 
     Only texts that a bit set of the repeated fingerprints lets through are shuffled; the set has at most 2**28 bits (32 MB)."""
     repeated = groups.where("group_size > 1").select("fp", "n_bytes")
-    width = 1 << 20
-    while width < 16 * repeated.count() and width < 1 << 28:
-        width <<= 1
-    bits = bytearray(width // 8)
-    blocks = repeated.select(_low("fp", width).alias("at")).repartition(F.shiftright("at", 15)).transform(in_arrow, _positions, "block long, bits binary")
-    for row in blocks.toLocalIterator():
-        whole = int.from_bytes(bits[row.block * 4096 : (row.block + 1) * 4096], "little") | int.from_bytes(row.bits, "little")
-        bits[row.block * 4096 : (row.block + 1) * 4096] = whole.to_bytes(4096, "little")
-    rows = docs.select(text_or_empty().cast("binary").alias("body")).transform(in_arrow, _chunk_rows(bytes(bits), width), "fp binary, n_bytes long, chunk_no int, chunk binary")
+    width = bit_width(repeated.count())
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(repeated.select(_low("fp", width).alias("at")), width))
+    rows = docs.select(text_or_empty().cast("binary").alias("body")).transform(in_arrow, _chunk_rows(bits, width), "fp binary, n_bytes long, chunk_no int, chunk binary")
     spread = rows.groupBy("fp", "n_bytes", "chunk_no").agg((F.min("chunk") != F.max("chunk")).alias("differ"))
     return spread.where("differ").select("fp", "n_bytes").distinct().join(repeated, ["fp", "n_bytes"], "left_semi")
 
 
-def exact_dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
-    """One row per row of docs: uid, doc_id, keep_id, group_size, kept, text_sha256.
-
-    Of equal normalised texts the row of most code points stays, then that of the smallest doc_id."""
-    printed = materialise(fingerprints(docs, huge))
+def decided(docs: DataFrame, uid: str, huge: int = HUGE) -> DataFrame:
+    """uid, doc_id, keep_id, group_size, kept and text_sha256 for each row of docs, whose column `uid` tells them apart."""
+    printed = materialise(fingerprints(docs.select(F.col(uid).alias("uid"), "doc_id", "text"), huge))
     groups = printed.groupBy("fp", "n_bytes").agg(F.count("*").alias("group_size"))
     groups = materialise(groups.where("group_size > 1"))
     bad = materialise(collided(docs, groups))
@@ -184,18 +174,25 @@ def exact_dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
     else:
         keyed = printed.join(bad.withColumn("bad", F.lit(True)), ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("bad"), F.col("sha")).otherwise("")).drop("bad")
     key = ["fp", "n_bytes", "part"]
-    best = F.max(F.struct("n_points", F.col("doc_id").isNotNull().alias("known"), (-F.col("doc_id")).alias("low"), (-F.col("uid")).alias("first")))
+    best = F.min(F.struct((-F.col("n_points")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "uid"))
     chosen = keyed.groupBy(*key).agg(best.alias("best"), F.count("*").alias("group_size"))
-    chosen = chosen.select(*key, "group_size", (-F.col("best.low")).alias("keep_id"), (-F.col("best.first")).alias("keep_uid"))
+    chosen = chosen.select(*key, "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.uid").alias("keep_uid"))
     out = keyed.join(chosen, key)
     return out.select("uid", "doc_id", "keep_id", "group_size", (F.col("uid") == F.col("keep_uid")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def exact_dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+    """One row per row of docs: uid, doc_id, keep_id, group_size, kept, text_sha256.
+
+    Of equal normalised texts the row of most code points stays, then that of the smallest doc_id."""
+    return decided(*addressed(docs.select("doc_id", "text")), huge)
+
+
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
-    decided = exact_dedup(docs).where("kept").select("uid")
-    tagged = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return tagged.join(decided, F.col("__uid") == F.col("uid"), "left_semi").select(*docs.columns)
+    rows, uid = addressed(docs)
+    kept = decided(rows, uid).where("kept").select(F.col("uid").alias("__kept"))
+    return rows.join(kept, F.col(uid) == F.col("__kept"), "left_semi").select(*quoted(docs))
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -4,6 +4,8 @@ Learning: n-grams of four letter codes are counted by language over all training
 language's n-grams belong to it. They go into a Bloom filter sliced by bit: each of its slots holds a mask with a bit for each
 language, an n-gram sets its languages' bits in PROBES slots, and the conjunction of an n-gram's slots is the set of all languages that
 hold it. The filter has SLOTS slots of one 64-bit word for each 64 languages (8 MB a word), whatever the corpus.
+The share keeps texts with a wrong label from giving their n-grams to a language: with enough of them every language would hold all
+n-grams. Without it 0.9883 instead of 0.9934 of the held-out texts of a quarter of check_s were right (0.9985 and 0.9990 on sf0.1).
 
 Prediction: the masks of a text's n-grams are counted by language. A share h / n of hits with a false-positive rate f (the filled
 share of the language's slice, to the power PROBES) is corrected to (h / n - f) / (1 - f); the language of the greatest corrected share

@@ -2,10 +2,14 @@
 
 Detected: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs, social security numbers, telephone numbers, secrets after
 names such as token or password, and person names (a listed given name or a title before capitalised words, and all other mentions of
-the names so found in the same document). Each entity is reduced
+the names so found in the same document, hyphenated ones part by part). Each entity is reduced
 to a canonical form and replaced by a form drawn from HMAC-SHA256 of the key, its type, its canonical form and a number of attempts; so the
 same entity gets the same surrogate in every document and format (coreference). Surrogates keep the type's checks (Luhn, mod 97),
-the length, the class of each character, the mention's punctuation and case; given names keep gender and script, family names the script.
+the length, the class of each character, the mention's punctuation and case; given names keep gender and script, family names the script
+and, in Cyrillic, the gender of their ending (both forms of a family's name get the two forms of one surrogate).
+
+The key is an argument and must stay secret: who has it can compute the surrogate of any guess. The query takes it from
+spark.tagloom.pii.key, or draws one for the call.
 
 Distinctness is checked over the corpus: a surrogate that is an entity of the corpus, or that another entity has, is drawn again with
 the next attempt, until no entity is left (of several that draw the same, the least canonical form keeps it). Given names come from
@@ -20,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import secrets
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,7 +33,6 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import in_arrow, materialise, slices, table
 
-KEY = b"tagloom-surrogates"
 #: Given names by (gender, script).
 GIVEN = {
     ("f", "latin"): "Alice Anna Barbara Carla Carmen Charlotte Claire Clara Diana Elena Elisabeth Emily Emma Eva Fiona Frances Greta Hannah Helen Ingrid Isabel Jane Julia Karin Laura Linda Lucia Maria Marie Marta Mary Nina Olivia Paula Rosa Sarah Sofia Susan Teresa Ursula".split(),
@@ -44,7 +48,11 @@ ENDINGS = {"latin": ["son", "er", "mann", "ez", "ley", "ard"], "cyrillic": ["о
 TITLES = "Mr Mrs Ms Miss Dr Prof Herr Frau Monsieur Madame Señor Señora".split()
 
 _PLACE = {name: (g, s) for (g, s), names in GIVEN.items() for name in names}
-_NAME = re.compile(r"\b(?:(?:" + "|".join(TITLES) + r")\.? +(?:[^\W\d_a-z][^\W\d_]+ +)?[^\W\d_a-z][^\W\d_]+|(?:" + "|".join(_PLACE) + r") +[^\W\d_a-z][^\W\d_]+)\b")
+_PART = r"[^\W\d_a-z][^\W\d_]+"
+_WORD = rf"{_PART}(?:-{_PART})*"
+_NAME = re.compile(rf"(?<![\w-])(?:(?:{'|'.join(TITLES)})\.? +(?:{_WORD} +)?{_WORD}|(?:{_PART}-)*(?:{'|'.join(_PLACE)})(?:-{_PART})* +{_WORD})(?!\w)")
+#: Endings of women's family names and those of men's that belong to them.
+FEMININE = (("ская", "ский"), ("цкая", "цкий"), ("ова", "ов"), ("ева", "ев"), ("ёва", "ёв"), ("ина", "ин"), ("ына", "ын"))
 _EMAIL = re.compile(r"(?<![\w.+%-])[\w.+%-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+")
 _SECRET = re.compile(r"(?i)\b(?:token|password|passwd|secret|api[_-]?key|access[_-]?key)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-/+]{8,})")
 _NUMBER = re.compile(
@@ -54,10 +62,22 @@ _NUMBER = re.compile(
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
     r"|(?<![\w.])(?P<phone>(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?(?:\d{2,4}(?:[ .-]\d{2,4}|[ -]\d{5,8}){1,4}|\d{5,8}(?:[ -]\d{2,8}){1,4})|\+\d{7,15}|\d{10,12})(?!\w|\.\d)"
 )
+_DATE = re.compile(r"(?:1[89]|20)\d\d([-./ ])\d{1,2}\1\d{1,2}(?!\d)|\d{1,2}([-./ ])\d{1,2}\2(?:1[89]|20)\d\d(?!\d)")
+_LOCAL = re.compile(r"\d{3}-\d{4}|\d{2,4}([-.])\d{2,4}\1\d{2,4}")
 _DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 
 
+def masculine(name: str) -> str:
+    """A family name in the form that a family shares."""
+    low = name.casefold()
+    return next((name[: -len(f)] + m for f, m in FEMININE if len(low) > len(f) + 1 and low.endswith(f)), name)
+
+
+def feminine(name: str) -> str:
+    return next((name[: -len(m)] + f for f, m in FEMININE if name.endswith(m)), name)
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(digits)):
@@ -75,6 +95,13 @@ def script(word: str) -> str:
     return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
 
 
+def _dialled(whole: str, digits: str) -> bool:
+    """Whether groups of digits look like a telephone number: a sign of one before them, ten digits, or a separator that only numbers have."""
+    if not 7 <= len(digits) <= 15 or _DATE.match(whole):
+        return False
+    return whole[0] in "+(0" and len(digits) >= 9 or len(digits) >= 10 or bool(_LOCAL.fullmatch(whole))
+
+
 def mentions(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, canonical form), without overlaps, in order."""
     found = []
@@ -96,8 +123,10 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
                     continue
             elif kind == "card":
                 kind, canonical = ("card", digits) if luhn(digits) else ("number", digits)
+                if kind == "number" and _DATE.match(whole):
+                    continue
             elif kind == "phone":
-                if not 7 <= len(digits) <= 15 or not (whole[0] in "+(" or len(digits) >= 9):
+                if not _dialled(whole, digits):
                     continue
                 canonical = digits[-10:]  # with or without a country code
             else:
@@ -110,7 +139,7 @@ def mentions(text: str) -> list[tuple[int, int, str, str]]:
             if word in TITLES:
                 continue
             kind = "given" if word in _PLACE else f"family-{script(word)}"
-            found.append((m.start() + w.start(), m.start() + w.end(), kind, word if kind == "given" else word.casefold()))
+            found.append((m.start() + w.start(), m.start() + w.end(), kind, word if kind == "given" else masculine(word).casefold()))
             names.setdefault(word, found[-1][2:])
     if names:  # the same names without a title or a given name before them
         found += [(m.start(), m.end(), *names[m[0]]) for m in _LETTERS.finditer(text) if m[0] in names]
@@ -155,7 +184,7 @@ def _alike(text: str, d: _Draw, hexed: bool = False) -> str:
     return "".join(out)
 
 
-def surrogate(kind: str, canonical: str, attempt: int, key: bytes = KEY) -> str:
+def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
     """The canonical form that replaces `canonical` at this attempt."""
     d = _Draw(key, kind, canonical, str(attempt))
     longer = max(0, attempt - 8)  # a form whose namespace is used up grows; a private address becomes any address
@@ -203,11 +232,13 @@ def styled(mention: str, kind: str, form: str) -> str:
     if kind == "email":
         return "".join(x.upper() if i < len(mention) and mention[i].isupper() else x for i, x in enumerate(form))
     if kind == "given" or kind.startswith("family-"):
+        if kind == "family-cyrillic" and masculine(mention) != mention:
+            form = feminine(form)
         return form.upper() if mention.isupper() and len(mention) > 1 else form[:1].upper() + form[1:]
     return form
 
 
-def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -> tuple[str, int]:
+def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes) -> tuple[str, int]:
     out, at, found = [], 0, mentions(text)
     for s, e, kind, canonical in found:
         out += [text[at:s], styled(text[s:e], kind, surrogate(kind, canonical, attempts.get((kind, canonical), 0), key))]
@@ -216,9 +247,12 @@ def replace(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY) -
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The entities of each text, which two hashes name."""
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
     for b in slices(batches):
-        rows = [(uid, k, c) for uid, text in zip(b.column("uid").to_pylist(), b.column("text").to_pylist(), strict=True) if text for k, c in {(k, c) for _, _, k, c in mentions(text)}]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))], ["uid", "kind", "canonical"])
+        columns = (b.column(c).to_pylist() for c in ("h1", "h2", "text"))
+        rows = [(h1, h2, k, c) for h1, h2, text in zip(*columns, strict=True) if text for k, c in {(k, c) for _, _, k, c in mentions(text)}]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["h1", "h2", "kind", "canonical"])
 
 
 def _drawer(attempt: int, key: bytes):
@@ -230,7 +264,7 @@ def _drawer(attempt: int, key: bytes):
     return run
 
 
-def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
+def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """kind, canonical, form, attempt for the distinct entities (kind, canonical): no two forms alike, none an entity."""
     entities = materialise(entities.where("kind != 'given'"))
     pending, done, attempt = entities, None, 0
@@ -260,15 +294,22 @@ def _replacer(key: bytes):
     return run
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """doc_id, n_entities and text with surrogates for each row of docs."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = materialise(rows.select("uid", "text").transform(in_arrow, _scan, "uid long, kind string, canonical string"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    found = materialise(rows.select("h1", "h2", "text").transform(in_arrow, _scan, "h1 long, h2 long, kind string, canonical string"))
     given = assign(found.select("kind", "canonical").distinct(), key)
     later = materialise(given.where("attempt > 0").select("kind", "canonical", "attempt"))
-    again = found.join(later, ["kind", "canonical"]).groupBy(F.col("uid").alias("__uid")).agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("again"))
-    return rows.join(again, F.col("uid") == F.col("__uid"), "left").select("doc_id", "text", "again").transform(in_arrow, _replacer(key), "doc_id long, n_entities int, text string")
+    again = found.join(later, ["kind", "canonical"]).groupBy(F.col("h1").alias("g1"), F.col("h2").alias("g2")).agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("again"))
+    rows = rows.join(again, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")), "left").select("doc_id", "text", "again")
+    return rows.transform(in_arrow, _replacer(key), "doc_id long, n_entities int, text string")
+
+
+def session_key(spark) -> bytes:
+    """The secret that spark.tagloom.pii.key holds; without one a new key, which nobody has afterwards."""
+    held = spark.conf.get("spark.tagloom.pii.key", None)
+    return held.encode() if held else secrets.token_bytes(32)
 
 
 def op3_pii(spark, sf_dir):
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), session_key(spark))

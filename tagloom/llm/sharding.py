@@ -1,33 +1,39 @@
 """Uniform shuffle into shards of exact size by a hypergeometric communication matrix.
 
-Rows are grouped into source blocks by a hash. The number of rows that each block sends to each target cell is drawn exactly
-(multivariate hypergeometric: row sums are the blocks' sizes, column sums the cells' capacities). A shard is a run of cells, so the
-sizes of shards and cells, and with them the first slot of each cell, are known before any row moves. Each block orders its rows at
-random and deals them out by its row of the matrix; after the exchange each cell orders its rows at random again. The result is a
-uniform permutation: two narrow sorts, no count after the exchange, and no task that holds a whole shard.
-
-Law `rows`: the shards' row counts are at most one apart. The seed and the rows decide the result, whatever the partitions.
-
-Defined results: null text has size 1 and the CRC of no bytes; null ids and repeated rows are rows as any other (rows equal in all
-columns are interchangeable); an empty table gives an empty result; extra columns named below are replaced, others stay.
+The source blocks are the input's partitions: its files, in blocks of at most BLOCK rows, or what was written once of an input that is
+no table of files. The number of rows that each block sends to each shard is drawn exactly (multivariate hypergeometric: row sums are
+the blocks' sizes, column sums the shards' sizes), so the shards' sizes are known before any row moves. Each block permutes its rows
+locally, by places alone, and deals them out by its row of the matrix; rows then go to a random cell of their shard, cells being as many
+as keep a task's work bounded, and are permuted again there. The result is a uniform permutation by one exchange; no task holds
+a block's or a shard's rows, equal rows are dealt like others, and the number of tasks grows with the rows.
+
+Law `rows`: the shards' row counts are at most one apart. The seed, the files and the order of rows in them decide the result, however
+they are cut into tasks. The driver and the tasks hold the matrix, 4 bytes for each shard and block; blocks get larger when there would be
+over MOST of them.
+
+Defined results: null text has size 1 and the CRC of no bytes; null ids and repeated rows are rows as any other; an empty table gives
+an empty result; extra columns named shard or slot are replaced, others stay (names may hold dots; those this module makes begin with __).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructType
 
-from tagloom.llm.common import table
+from tagloom.llm.common import addressed, in_arrow, materialise, mixed, quoted, table
 
-#: Rows that a block or cell should have, and the bounds on their number: the matrix has at most 1024 x 1024 counts (8 MB).
-ROWS, LEAST, MOST = 16_384, 64, 1024
+#: Rows of a block at least (the last one of a file has fewer), blocks besides one for each file at most, rows of a cell.
+BLOCK, MOST, CELL = 1 << 16, 1 << 19, 1 << 16
 
 
-def capacities(n_rows: int, n_shards: int, per_shard: int) -> list[list[int]]:
-    """Sizes of the cells of each shard; shards differ by one row at most, and so do the cells of a shard."""
-    even = lambda n, k: [n // k + (i < n % k) for i in range(k)]
-    return [even(n, per_shard) for n in even(n_rows, n_shards)]
+def capacities(n_rows: int, n_shards: int) -> list[int]:
+    """Sizes of the shards, one row apart at most."""
+    return [n_rows // n_shards + (i < n_rows % n_shards) for i in range(n_shards)]
 
 
 def communication_matrix(sizes: list[int], cells: list[int], seed: int) -> np.ndarray:
@@ -70,32 +76,61 @@ def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> in
     return a + _hypergeometric(rng, good - a, bad - b, n - a - b)
 
 
-def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 17) -> DataFrame:
-    """df with shard (from 0) and slot (gapless from 0 within the shard)."""
+def _named(file: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A number for each block: its file and its place there."""
+    return mixed(mixed(file) ^ part.astype(np.uint64))
+
+
+def _dealer(blocks: np.ndarray, matrix: np.ndarray, block: int, seed: int):
+    """shard and u (a random number) of rows that come with their address."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+        for b in batches:
+            row = np.asarray(b.column("__row"))
+            at = np.searchsorted(blocks, _named(np.asarray(b.column("__file")), row // block))
+            shard = np.empty(len(at), np.int32)
+            for k in np.unique(at).tolist():
+                if k not in known:
+                    # The block's permutation, as the shard of each place in it.
+                    known = {k: np.random.Generator(np.random.PCG64([seed, k])).permutation(np.repeat(np.arange(matrix.shape[1], dtype=np.int32), matrix[k]))}
+                own = at == k
+                shard[own] = known[k][row[own] % block]
+            u = mixed(at * (1 << 32) + row % block, seed + 1) >> np.uint64(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shard), pa.array(u.astype(np.int64))], [*b.schema.names, "__shard", "__u"])
+
+    return run
+
+
+def shuffle_into_shards(df: DataFrame, n_shards: int = 8, seed: int = 17, block: int = BLOCK, cell: int = CELL) -> DataFrame:
+    """df with shard (from 0) and slot (gapless from 0 within the shard). block: a power of two."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    own = [c for c in df.columns if c not in {"shard", "slot"}]
-    key = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in own])
-    rows = df.select(*[F.col(f"`{c}`") for c in own], key.alias("__key"))
+    own = quoted(df, "shard", "slot")
+    rows, uid = addressed(df.select(*own), whole=True)
+    rows = rows.select(*own, F.col(f"{uid}.file").alias("__file"), F.col(f"{uid}.row").alias("__row"))
     n = rows.count()
-    n_blocks = min(MOST, max(LEAST, -(-n // ROWS)))
-    per_shard = min(max(1, MOST // n_shards), max(1, LEAST // n_shards, -(-n // (n_shards * ROWS))))
-    rows = rows.withColumn("__block", F.pmod("__key", F.lit(n_blocks)).cast("int"))
-    found = {r["__block"]: r["count"] for r in rows.groupBy("__block").count().collect()}
-    cells = [c for shard in capacities(n, n_shards, per_shard) for c in shard]
-    matrix = communication_matrix([found.get(b, 0) for b in range(n_blocks)], cells, seed)
-    firsts = [sum(cells[s * per_shard : s * per_shard + i]) for s in range(n_shards) for i in range(per_shard)]
-    ends = matrix.cumsum(axis=1)
-    spark = df.sparkSession
-    deal = spark.createDataFrame([(b, ends[b].tolist()) for b in range(n_blocks)], "__block int, __ends array<long>")
-    local = Window.partitionBy("__block").orderBy(F.xxhash64(F.lit(seed + 1), "__key"), "__key", *[F.col(f"`{c}`") for c in own])
-    rows = rows.withColumn("__place", F.row_number().over(local) - 1).join(F.broadcast(deal), "__block")
-    rows = rows.withColumn("__cell", F.size(F.filter("__ends", lambda e: e <= F.col("__place")))).drop("__ends")
-    # Ranks in a cell follow fresh random numbers of the row's place, so equal rows are independent too.
-    again = Window.partitionBy("__cell").orderBy(F.xxhash64(F.lit(seed + 2), "__block", "__place"), "__block", "__place")
-    first = F.element_at(F.array(*[F.lit(int(x)).cast("long") for x in firsts]), F.col("__cell") + 1)
-    rows = rows.withColumn("slot", F.row_number().over(again).cast("long") - 1 + first)
-    return rows.select(*[F.col(f"`{c}`") for c in own], F.floor(F.col("__cell") / per_shard).cast("int").alias("shard"), "slot")
+    while n > block * MOST:
+        block *= 2
+    found = rows.groupBy("__file", F.floor(F.col("__row") / block).alias("part")).agg(F.count("*").alias("n")).toArrow()
+    names = _named(np.asarray(found.column("__file")), np.asarray(found.column("part")))
+    order = np.argsort(names)
+    shards = capacities(n, n_shards)
+    matrix = communication_matrix(np.asarray(found.column("n"))[order].tolist(), shards, seed).astype(np.int32)
+    deal = _dealer(names[order], matrix, block, seed)
+
+    def dealt(df: DataFrame) -> DataFrame:
+        out = df.transform(in_arrow, deal, StructType([*df.schema.fields]).add("__shard", IntegerType()).add("__u", LongType()))
+        cells = F.element_at(F.array(*[F.lit(-(-x // cell) or 1) for x in shards]), F.col("__shard") + 1).cast("long")
+        return out.withColumn("__cell", F.shiftrightunsigned(F.shiftrightunsigned("__u", 31) * cells, 32))
+
+    sizes = dealt(rows.select("__file", "__row")).groupBy("__shard", "__cell").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("__shard").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = materialise(sizes.select(F.col("__shard").alias("__of"), F.col("__cell").alias("__at"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first")))
+    again = Window.partitionBy("__shard", "__cell").orderBy("__u", "__file", "__row")
+    out = dealt(rows).withColumn("__rank", F.row_number().over(again))
+    out = out.join(firsts, (F.col("__shard") == F.col("__of")) & (F.col("__cell") == F.col("__at")))
+    return out.select(*own, F.col("__shard").alias("shard"), (F.col("__first") + F.col("__rank") - 1).cast("long").alias("slot"))
 
 
 def op2_sharding(spark, sf_dir):

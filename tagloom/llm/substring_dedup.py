@@ -5,9 +5,12 @@ the last cut and at most MAX_CHUNK, so cuts depend on the 32 bytes before them a
 by their BLAKE2b digests (16 bytes) over the whole table. A chunk is repeated if its digest occurred earlier in its text or in a document of
 smaller doc_id. Runs of adjacent repeated chunks of MIN_RUN bytes or more are removed; shorter ones are chance and stay.
 
+Texts are chunked twice: digests with the first document that has them are counted, and then only chunks that may be repeated (by a bit
+set of bounded size) are located. What is shuffled is digests and places; nothing of a chunk is written.
+
 Defined results: null texts have no chunks and stay null, empty texts stay empty; cuts inside a character are moved so that spans
-hold whole characters; rows of the same doc_id count as one document; a null doc_id ranks after all others; extra columns are
-ignored by the query; an empty table gives an empty result.
+hold whole characters; rows of the same doc_id count as one document; rows without a doc_id rank after all others (doc_id under 2**62),
+by a hash of their text, and equal ones count as one; extra columns are ignored by the query; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,19 +18,23 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import in_arrow, materialise, slices, table
+from tagloom.llm.common import bit_set, bit_width, in_arrow, materialise, slices, table
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS, MIN_RUN = 12, 256, 4, 128
 GEAR = np.random.Generator(np.random.PCG64(71)).integers(0, 1 << 32, 256, np.uint32)
 #: Bytes that are hashed at once.
 PIECE = 1 << 20
-_LAST = (1 << 63) - 1
+#: Chunks of a batch.
+ROWS = 50_000
+#: Ranks from here on are those of rows without a doc_id.
+NO_ID = 1 << 62
 
 
 def gear(data: bytes) -> np.ndarray:
@@ -62,35 +69,46 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
-def _chunker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["uid", "rank", "at", "size", "again", "h1", "h2"]
-
-    def flush(uid, rank, at, size, again, digests):
-        both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([*(pa.array(x, k) for x, k in zip((uid, rank, at, size, again), kinds, strict=True)), pa.array(both[:, 0]), pa.array(both[:, 1])], names)
-
-    held: tuple[list, ...] = ([], [], [], [], [], [])
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """rank, mark, start, end, digest and whether its text had it before, of each chunk."""
     for b in slices(batches):
-        for uid, rank, data in zip(b.column("uid").to_pylist(), b.column("rank").to_pylist(), b.column("body").to_pylist(), strict=True):
+        for rank, mark, data in zip(b.column("rank").to_pylist(), b.column("mark").to_pylist(), b.column("body").to_pylist(), strict=True):
             first, seen = 0, set()
             for end in cuts(data or b""):
                 digest = hashlib.blake2b(data[first:end], digest_size=16).digest()
-                for column, value in zip(held, (uid, rank, first, end - first, digest in seen, digest), strict=True):
-                    column.append(value)
+                yield rank, mark, first, end, digest, digest in seen
                 seen.add(digest)
                 first = end
-            if len(held[0]) > 50_000:
-                yield flush(*held)
-                held = ([], [], [], [], [], [])
-    if held[0]:
-        yield flush(*held)
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """uid, rank (the order of documents), at, size, again, h1, h2 of every chunk."""
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("rank"), F.col("text").cast("binary").alias("body"))
-    return rows.transform(in_arrow, _chunker, "uid long, rank long, at int, size int, again boolean, h1 long, h2 long")
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    both = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(both[:, i]) for i in (0, 1)]
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = _chunks(batches)
+    while held := list(islice(((x[0], x[4]) for x in rows), ROWS)):
+        yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in held], pa.int64()), *_halves([d for _, d in held])], ["rank", "h1", "h2"])
+
+
+def _located(shared, width: int):
+    names, kinds = ["rank", "mark", "at", "size", "again"], (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, last = shared.value, width - 1
+        rows = ((r, m, s, e - s, again, d) for r, m, s, e, d, again in _chunks(batches) if bits[(at := int.from_bytes(d[:8], "little") & last) >> 3] >> (at & 7) & 1)
+        while held := list(islice(rows, ROWS)):
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in held], k) for i, k in enumerate(kinds)), *_halves([x[5] for x in held])], [*names, "h1", "h2"])
+
+    return run
+
+
+def _ranked(docs: DataFrame) -> DataFrame:
+    """doc_id, rank (the order of documents), mark (of the text; with the rank it names what is the same document) and body."""
+    mark = F.xxhash64("text")
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(mark, 2))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), rank.alias("rank"), mark.alias("mark"), F.col("text").cast("binary").alias("body"))
 
 
 def runs(parts: list[tuple[int, int]], least: int = MIN_RUN) -> list[tuple[int, int]]:
@@ -132,21 +150,24 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(sum(e - s for s, e in own))
             texts.append(None if data is None else left.decode())
             inside = {p["first"] for p in parts or [] if any(s <= p["at"] + p["size"] // 2 < e for s, e in own)}
-            sources.append(sorted(inside))
+            sources.append(sorted(x for x in inside if x < NO_ID))
         n = [len(x or b"") for x in b.column("body").to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(kind)), pa.array(sources, pa.list_(pa.int64())), pa.array(texts, pa.string())], ["doc_id", "n_bytes", "removed_bytes", "spans", "repeats_of", "text"])
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, removed_bytes, spans (byte offsets removed), repeats_of (documents that hold the first
-    occurrence of what was removed), text (what stays)."""
-    chunks = materialise(chunk_table(docs))
-    repeated = chunks.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1").select("h1", "h2", "first")
-    repeated = materialise(repeated)
-    found = chunks.join(repeated, ["h1", "h2"]).where("again OR rank > first")
-    parts = found.groupBy("uid").agg(F.collect_list(F.struct("at", "size", "first")).alias("parts"))
-    rows = docs.select(F.monotonically_increasing_id().alias("__uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    rows = rows.join(parts, F.col("__uid") == F.col("uid"), "left").select("doc_id", "body", "parts")
+    occurrence of what was removed, as far as they have an id), text (what stays)."""
+    rows = _ranked(docs)
+    digests = rows.select("rank", "mark", "body").transform(in_arrow, _digests, "rank long, h1 long, h2 long")
+    repeated = materialise(digests.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("rank").alias("first")).where("n > 1").select("h1", "h2", "first"))
+    width = bit_width(repeated.count())
+    bits = docs.sparkSession.sparkContext.broadcast(bit_set(repeated.select(F.col("h1").bitwiseAND(F.lit(width - 1)).alias("at")), width))
+    located = rows.select("rank", "mark", "body").transform(in_arrow, _located(bits, width), "rank long, mark long, at int, size int, again boolean, h1 long, h2 long")
+    found = located.join(repeated, ["h1", "h2"]).where("again OR rank > first")
+    # Equal rows of one document find the same places.
+    parts = found.groupBy(F.col("rank").alias("r"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("at", "size", "first")).alias("parts"))
+    rows = rows.join(parts, (F.col("rank") == F.col("r")) & (F.col("mark") == F.col("m")), "left").select("doc_id", "body", "parts")
     return rows.transform(in_arrow, _remover, _OUT)
 
 

@@ -2,7 +2,7 @@
 
 Text becomes a sequence of letters with one boundary for each run of other characters. Two models of order 4, one of toxic and one of
 ordinary labelled texts, give each letter a probability after the three before it. Both back off to one interpolated Kneser-Ney
-model of the pooled counts (orders 4 and 2; the lower order counts distinct left contexts), so an expression that is rare in either class
+model of the pooled counts (orders 4, 3, 2 and 1; lower orders count distinct left contexts), so an expression that is rare in either class
 is smoothed by shared backoff counts and says little, while one that only toxic texts hold says much. A document's log-likelihoods
 under the models are compared after normalisation by length: their difference over the number of letters is the input of a logistic
 calibration.
@@ -13,8 +13,8 @@ that grow with their number (24 to 48 bytes a sequence); beyond, the sequences o
 
 Defined results: null and empty texts get the score of a text without evidence; labels that are null or other than 0 and 1 are not
 learned from, of several labels of a doc_id the greatest counts; without both labels in the training rows every score is the share of
-toxic training labels, 0 if there are none; repeated rows get the same score; extra columns are ignored; an empty table gives an empty
-result.
+toxic training labels, 0 if there are none; repeated rows get the same score; extra columns are ignored by the query and kept by
+clean_documents(), whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,15 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import CODE_BITS, code_runs, fold, in_arrow, materialise, mixed, packed, slices, table, text_or_empty
+from tagloom.llm.common import CODE_BITS, UID, addressed, code_runs, fold, fresh, in_arrow, materialise, mixed, packed, quoted, slices, table, text_or_empty
 
 #: Letters of a sequence, and the orders that it backs off to.
-ORDER, LOWER = 4, (2,)
+ORDER, LOWER = 4, (3, 2, 1)
 DISCOUNT = 0.5
 #: Sequences up to this number are held by every task; more are joined by a shuffle.
 BROADCAST_SEQUENCES = 2_000_000
-#: Labels up to this number are broadcast (16 bytes each); more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Labels up to this number are broadcast (about 75 bytes each, 38 MB); more are joined by a shuffle of the learned texts.
+BROADCAST_LABELS = 500_000
 #: Rows of the calibration fold to fit two numbers on: an expected bound, drawn by a hash of the id.
 CALIBRATION_ROWS = 50_000
 #: Letters counted at once.
@@ -88,9 +88,13 @@ def _pooled(level: DataFrame, lower: DataFrame | None, below: int | None) -> Dat
 def ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, llr, c) of the sequences of ORDER letters, and (key, llr, c) of their contexts for sequences never seen."""
     low = lambda n: F.col("key").bitwiseAND(F.lit((1 << CODE_BITS * n) - 1)).alias("key")
+    orders, above = {}, counts
+    for n in LOWER:
+        orders[n] = above = materialise(above.groupBy(low(n)).agg(F.count("*").alias("n")))
     level, below = None, None
     for n in reversed(LOWER):
-        level, below = _pooled(counts.groupBy(low(n)).agg(F.count("*").alias("c")), level, below), n
+        # A sequence's distinct left contexts are the rows of the next order that end in it.
+        level, below = materialise(_pooled(orders[n].withColumnRenamed("n", "c"), level, below)), n
     top = _pooled(counts.withColumn("c", F.col("t") + F.col("o")), level, below)
     after = Window.partitionBy(F.shiftright("key", CODE_BITS))
     for x in "to":
@@ -156,33 +160,36 @@ def evidence(text: str, grams: Ratios, contexts: Ratios) -> tuple[float, int]:
     return total, n
 
 
-def _scorer(model, kept: list[str]):
+def _scorer(model, kept: list[str], name: str, out: list[str]):
     def run(batches):
         grams, contexts = (x.value for x in model)
         for b in slices(batches):
-            found = [evidence(x, grams, contexts) for x in b.column("__text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*kept, "llr", "n"])
+            found = [evidence(x, grams, contexts) for x in b.column(name).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.int64())], [*kept, *out])
 
     return run
 
 
 def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches):
-        for uid, text in zip(b.column("__uid").to_pylist(), b.column("__text").to_pylist(), strict=True):
+        for i, text in enumerate(b.column("text").to_pylist()):
             for codes in code_runs(text, ORDER - 1):
                 keys, n = np.unique(packed(codes, ORDER), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), uid, np.int64)), pa.array(keys), pa.array(n.astype(np.int64))], ["__uid", "key", "n"])
+                own = b.column("uid").slice(i, 1).take(pa.array(np.zeros(len(keys), np.int32)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(keys), pa.array(n.astype(np.int64))], ["uid", "key", "n"])
 
 
-def weighed(rows: DataFrame, grams: DataFrame, contexts: DataFrame, kept: list[str]) -> DataFrame:
-    """The columns `kept` of rows, with llr and n of __text by joins with the ratios."""
-    rows = rows.withColumn("__uid", F.monotonically_increasing_id())
-    found = rows.select("__uid", "__text").transform(in_arrow, _sequences, "__uid long, key long, n long")
+def weighed(rows: DataFrame, grams: DataFrame, contexts: DataFrame, name: str, out: list[str]) -> DataFrame:
+    """rows without the text column `name`, with the log ratio and the number of letters of it (named as `out` says) by joins with the ratios."""
+    rows, uid = addressed(rows)
+    found = rows.select(F.col(uid).alias("uid"), F.col(name).alias("text")).transform(in_arrow, _sequences, f"uid {UID}, key long, n long")
     found = found.join(grams, "key", "left").withColumn("__context", F.shiftright("key", CODE_BITS))
     backed = contexts.select(F.col("key").alias("__context"), F.col("llr").alias("__back"))
     found = found.join(backed, "__context", "left").withColumn("llr", F.coalesce("llr", "__back", F.lit(0.0)).cast("double"))
-    sums = materialise(found.groupBy("__uid").agg(F.sum(F.col("llr") * F.col("n")).alias("llr"), F.sum("n").alias("n")))
-    return rows.join(sums, "__uid", "left").select(*kept, F.coalesce("llr", F.lit(0.0)).alias("llr"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    key = fresh(rows, "__row")
+    sums = materialise(found.groupBy(F.col("uid").alias(key)).agg(F.sum(F.col("llr") * F.col("n")).alias(out[0]), F.sum("n").alias(out[1])))
+    kept = quoted(rows, name, uid)
+    return rows.join(sums, F.col(uid) == F.col(key), "left").select(*kept, F.coalesce(out[0], F.lit(0.0)).alias(out[0]), F.coalesce(out[1], F.lit(0).cast("long")).alias(out[1]))
 
 
 def _inputs(llr: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -206,34 +213,45 @@ def calibrate(llr: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> list[float]:
     return (w / scale).tolist()
 
 
-def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs, with all its columns but those of these names, with llr, n, score and predicted."""
+def scored(docs: DataFrame, labels: DataFrame, names: tuple[str, ...] = ("llr", "n", "score", "predicted")) -> DataFrame:
+    """docs, with all its columns but those of the given names, with the log ratio, the letters, the score and the prediction so named."""
     spark = docs.sparkSession
-    own = [c for c in docs.columns if c not in {"llr", "n", "score", "predicted"}]
+    llr, n, score, predicted = names
+    own = quoted(docs, *names)
+    name = fresh(docs, "__text")
     train = labelled(docs, labels)
     seen = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    rows = docs.select(*own, text_or_empty().alias("__text"))
+    rows = docs.select(*own, text_or_empty().alias(name))
     if len(seen) < 2:
-        out = rows.select(*own, F.lit(0.0).alias("llr"), F.lit(0).cast("long").alias("n"), F.lit(1.0 if 1 in seen else 0.0).alias("score"))
+        out = rows.drop(name).select("*", F.lit(0.0).alias(llr), F.lit(0).cast("long").alias(n), F.lit(1.0 if 1 in seen else 0.0).alias(score))
     else:
         counts = train.where(fold() != 1).select("text", F.col("toxic").cast("int").alias("toxic")).transform(in_arrow, _count, "key long, t long, o long")
         counts = materialise(counts.groupBy("key").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
         grams, contexts = (materialise(x) for x in ratios(counts))
         if grams.count() <= BROADCAST_SEQUENCES:
             model = [spark.sparkContext.broadcast(Ratios(x)) for x in (grams, contexts)]
-            weigh = lambda df, kept, kind: df.transform(in_arrow, _scorer(model, kept), kind + ", llr double, n long")
+
+            def weigh(df):
+                kept = [f for f in df.schema.fields if f.name != name]
+                kind = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept), f"`{llr}` double, `{n}` long"])
+                return df.transform(in_arrow, _scorer(model, [f.name for f in kept], name, [llr, n]), kind)
+
         else:
-            weigh = lambda df, kept, kind: weighed(df, grams, contexts, kept)
+            weigh = lambda df: weighed(df, grams, contexts, name, [llr, n])
         share = min(1.0, CALIBRATION_ROWS * 5 / max(1, sum(seen.values())))
         tuned = train.where((fold() == 1) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))))
-        tuned = materialise(tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias("__text")))
-        got = weigh(tuned, ["toxic"], "toxic int").toPandas()
-        w = calibrate(got["llr"].to_numpy(), got["n"].to_numpy(), got["toxic"].to_numpy(float)) if got["toxic"].nunique() == 2 else [0.0, 1.0]
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*own).schema.fields)
-        out = weigh(rows, own, kind)
-        z = F.lit(w[0]) + F.lit(w[1]) * F.col("llr") / F.greatest(F.col("n"), F.lit(1))
-        out = out.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        tuned = materialise(tuned.select(F.col("toxic").cast("int").alias("toxic"), F.col("text").alias(name)))
+        got = weigh(tuned).toPandas()
+        w = calibrate(got[llr].to_numpy(), got[n].to_numpy(), got["toxic"].to_numpy(float)) if got["toxic"].nunique() == 2 else [0.0, 1.0]
+        z = F.lit(w[0]) + F.lit(w[1]) * F.col(llr) / F.greatest(F.col(n), F.lit(1))
+        out = weigh(rows).withColumn(score, 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0)))))
+    return out.withColumn(predicted, (F.col(score) >= 0.5).cast("int"))
+
+
+def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that are not predicted toxic, with all their columns."""
+    names = [fresh(docs, x) for x in ("__llr", "__n", "__score", "__predicted")]
+    return scored(docs, labels, tuple(names)).where(F.col(names[-1]) == 0).select(*quoted(docs))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
