@@ -91,7 +91,11 @@ BATCH_BYTES = 4 << 20
 def in_arrow(df: DataFrame, f, schema) -> DataFrame:
     """mapInArrow with batches of bounded size, whatever the length of the texts (a setting of the session, read when the plan runs)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return df.mapInArrow(f, schema)
+    names = df.columns
+    if all(c.replace("_", "a").isalnum() for c in names):
+        return df.mapInArrow(f, schema)
+    # mapInArrow cannot read columns whose names hold dots and the like; the worker has the names.
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: f(b.rename_columns(names) for b in batches), schema)
 
 
 #: Rows of a batch that Python holds as objects at once.
