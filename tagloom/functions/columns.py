@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import partial
 
 from pyspark.sql import Column
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import grid, render, scan, tree
 from tagloom.operators.relation import ATTRS
+from tagloom.plans import matching
+from tagloom.plans.matching import META
 from tagloom.plans.selector import Selector
 
 TOKENS = f"array<struct<ord: int, kind: string, name: string, attrs: {ATTRS}, self_closing: boolean, data: string, public_id: string, system_id: string, correct: boolean>>"
-META = "struct<title: string, description: string, canonical: string, lang: string, og: array<struct<property: string, content: string>>>"
 GRIDS = "array<array<array<string>>>"
 
 
@@ -43,9 +45,13 @@ def token_rows(html: str, state: str | None = None, last: str = "") -> list[tupl
     return [token_row(i, x) for i, x in enumerate(found)]
 
 
-def tokenize(c: str | Column, state: str | None = None, last_start_tag: str = "") -> Column:
+def _known(state: str | None) -> None:
     if state is not None and state not in scan.STATES:
         raise ValueError(f"unknown tokenizer state {state!r}")
+
+
+def tokenize(c: str | Column, state: str | None = None, last_start_tag: str = "") -> Column:
+    _known(state)
     return _call(partial(token_rows, state=state, last=last_start_tag), TOKENS, _col(c))
 
 
@@ -71,14 +77,24 @@ def sanitize_html(c: str | Column, policy: render.Policy | None = None) -> Colum
 
 
 def meta_row(html: str) -> dict:
-    found = grid.meta(tree.parse(html))
-    return found | {"og": [{"property": k, "content": v} for k, v in found["og"]]}
+    return matching.meta_row(tree.parse(html))
 
 
 def html_meta(c: str | Column) -> Column:
     return _call(meta_row, META, _col(c))
 
 
+def meta_json(c: str | Column) -> Column:
+    """The metadata as JSON: og is an array of pairs, what is missing is null."""
+    return _call(lambda h: json.dumps(grid.meta(tree.parse(h)), ensure_ascii=False, separators=(",", ":")), "string", _col(c))
+
+
+def token_json(c: str | Column, state: str | None = None, last_start_tag: str = "") -> Column:
+    """The tokens as JSON arrays: kind, then name, attribute pairs and self-closing flag, or data, or what a DOCTYPE has."""
+    _known(state)
+    return _call(lambda h: scan.token_json(scan.tokenize(h) if state is None else scan.tokenize_state(h, state, last_start_tag)), "string", _col(c))
+
+
 def html_tables(c: str | Column) -> Column:
     """Grids of all tables; pages without a table tag are not sent to Python."""
     c = _col(c)
@@ -97,6 +113,12 @@ def html_query(c: str | Column, selector: str) -> Column:
     return _call(run, "array<string>", _col(c))
 
 
+def html_matches(c: str | Column, selector: str) -> Column:
+    """Whether any element matches; a bad selector raises at once."""
+    s = Selector(selector)
+    return _call(lambda h: bool(s.select(tree.parse(h))), "boolean", _col(c))
+
+
 def repair_utf8(c: str | Column) -> Column:
     """Binary to text, one U+FFFD for each ill-formed byte."""
     c = _col(c)

@@ -5,15 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tagloom.operators.render import text_content
 from tagloom.operators.tree import ELEMENT, HIDDEN, KINDS, TEXT, Tree, parse
 
 ATTRS = "array<struct<name: string, value: string>>"
 NODE_SCHEMA = (
     f"node_id int, parent_id int, last_desc int, depth int, kind string, name string, data string, attrs {ATTRS},"
-    " el_pos int, el_count int, is_blank boolean, hidden boolean, ancestors array<int>, table_id int"
+    " el_pos int, el_count int, is_blank boolean, hidden_by int, ancestors array<int>, table_id int"
 )
 _ARROW_ATTRS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 #: Nodes of a batch.
@@ -30,12 +30,13 @@ def node_rows(t: Tree) -> Iterator[tuple]:
             place[n] = count[t.parent[n]]
         if t.kind[n] in (ELEMENT, TEXT):
             blank[t.parent[n]] = False
-    hidden, above, table = [False] * n_nodes, [[]] * n_nodes, [None] * n_nodes
+    # hidden_by: the nearest element, from the node itself upwards, whose text is hidden
+    hidden, above, table = [None] * n_nodes, [[]] * n_nodes, [None] * n_nodes
     for n in range(n_nodes):
         p = t.parent[n]
         element = t.kind[n] == ELEMENT
         if p >= 0:
-            hidden[n] = hidden[p] or (element and t.name[n] in HIDDEN)
+            hidden[n] = n if element and t.name[n] in HIDDEN else hidden[p]
             above[n] = [p, *above[p]] if t.kind[p] == ELEMENT else above[p]
             table[n] = p if t.name[p] == "table" else table[p]
         yield (
@@ -44,13 +45,31 @@ def node_rows(t: Tree) -> Iterator[tuple]:
         )
 
 
-_KINDS = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), _ARROW_ATTRS, pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.list_(pa.int32()), pa.int32())
-_NAMES = [x.strip().split(" ")[0] for x in ("node_id parent_id last_desc depth kind name data attrs el_pos el_count is_blank hidden ancestors table_id").split()]
+_KINDS = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), _ARROW_ATTRS, pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int32()), pa.int32())
+_NAMES = [x.strip().split(" ")[0] for x in ("node_id parent_id last_desc depth kind name data attrs el_pos el_count is_blank hidden_by ancestors table_id").split()]
+
+
+#: Pages of a batch, and their bytes, that a worker holds as objects at once; a longer page makes a batch of its own.
+PAGES, PAGE_BYTES = 256, 4 << 20
+
+
+def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same pages (column __html) in batches of bounded size."""
+    for b in batches:
+        sizes = pc.fill_null(pc.binary_length(b.column("__html")), 0).to_pylist()
+        first = held = 0
+        for i, size in enumerate(sizes):
+            if i > first and (i - first >= PAGES or held + size > PAGE_BYTES):
+                yield b.slice(first, i - first)
+                first, held = i, 0
+            held += size
+        if first < b.num_rows:
+            yield b.slice(first)
 
 
 def _expand(keys: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in page_batches(batches):
             rows: list[tuple] = []
             source: list[int] = []
 
@@ -79,6 +98,3 @@ def nodes(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("pa
     kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
     return pages.select(*keys, pages[html_col].alias("__html")).mapInArrow(_expand(list(keys)), f"{kinds}, {NODE_SCHEMA}")
 
-
-def element_text(t: Tree, n: int) -> str:
-    return text_content(t, n)

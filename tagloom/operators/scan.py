@@ -5,6 +5,8 @@ Tokens are tuples: ("StartTag", name, [(attribute, value), ...], self_closing),
 
 from __future__ import annotations
 
+import codecs
+import json
 import re
 from html.entities import html5
 
@@ -311,15 +313,18 @@ def tokenize_state(html: str, state: str, last_start_tag: str = "") -> list[tupl
     return _Scan(html, state, ascii_lower(last_start_tag), False).run()
 
 
+def token_json(tokens: list[tuple]) -> str:
+    """Tokens as a JSON array of arrays."""
+    return json.dumps(tokens, ensure_ascii=False, separators=(",", ":"))
+
+
+def _replace_each(e: UnicodeDecodeError) -> tuple[str, int]:
+    return "\ufffd" * (e.end - e.start), e.end
+
+
+codecs.register_error("tagloom-each-byte", _replace_each)
+
+
 def repair_utf8(raw: bytes) -> str:
     """Bytes as text, each ill-formed byte as one U+FFFD."""
-    out, at = [], 0
-    while at < len(raw):
-        try:
-            out.append(raw[at:].decode("utf-8"))
-            break
-        except UnicodeDecodeError as e:
-            out.append(raw[at : at + e.start].decode("utf-8"))
-            out.append("�" * (e.end - e.start))
-            at += e.end
-    return "".join(out)
+    return raw.decode("utf-8", "tagloom-each-byte")

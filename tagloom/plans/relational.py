@@ -88,12 +88,38 @@ def select(nodes: DataFrame, selector: str, keys: tuple[str, ...] = ("page_id",)
     return out.dropDuplicates([*keys, "node_id"]) if len(found) > 1 else out
 
 
+def within(found: DataFrame, scopes: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """Rows of found that lie below a node of scopes, each once."""
+    k = list(keys)
+    above = scopes.select(*k, F.col("node_id").alias("__above")).distinct()
+    below = found.select(*k, "node_id", F.explode("ancestors").alias("__above")).join(above, [*k, "__above"], "left_semi")
+    return found.join(below.select(*k, "node_id").distinct(), [*k, "node_id"], "left_semi")
+
+
+def with_match(nodes: DataFrame, selector: str, name: str = "matches", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """nodes with a boolean column: whether the selector matches. Nodes other than elements never match."""
+    k = [*keys, "node_id"]
+    found = select(nodes, selector, keys).select(*k, F.lit(True).alias(name))
+    return nodes.join(found, k, "left").withColumn(name, F.coalesce(name, F.lit(False))).select(*nodes.columns, name)
+
+
+def element_siblings(nodes: DataFrame, of: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """keys, node_id, sibling_id, el_pos: the elements with the same parent as each node of `of`, itself among them if it is one.
+
+    A document node has itself alone."""
+    k = list(keys)
+    own = of.select(*k, "node_id", "parent_id")
+    near = nodes.where("kind = 'element'").select(*k, "parent_id", F.col("node_id").alias("sibling_id"), "el_pos")
+    alone = own.where("parent_id IS NULL").select(*k, "node_id", F.col("node_id").alias("sibling_id"), F.lit(None).cast("int").alias("el_pos"))
+    return own.join(near, [*k, "parent_id"]).select(*k, "node_id", "sibling_id", "el_pos").unionByName(alone)
+
+
 def texts(nodes: DataFrame, roots: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """keys, node_id, text: the text content of each root element, by the interval of its descendants."""
+    """keys, node_id, text: the text content of each root element. Only the root and what is below it hide text, not what is above."""
     k = list(keys)
-    r = roots.where(~F.col("hidden")).select(*k, "node_id", "last_desc")
-    t = nodes.where("kind = 'text' AND NOT hidden").select(*k, F.col("node_id").alias("__at"), "data", F.explode("ancestors").alias("node_id"))
-    joined = t.join(r.select(*k, "node_id"), [*k, "node_id"], "left_semi")
+    t = nodes.where("kind = 'text'").select(*k, F.col("node_id").alias("__at"), "data", "hidden_by", F.explode("ancestors").alias("node_id"))
+    t = t.where("hidden_by IS NULL OR hidden_by < node_id").drop("hidden_by")
+    joined = t.join(roots.select(*k, "node_id"), [*k, "node_id"], "left_semi")
     parts = joined.groupBy(*k, "node_id").agg(F.array_sort(F.collect_list(F.struct("__at", "data"))).alias("__parts"))
     text = F.array_join(F.transform("__parts", lambda p: p["data"]), "")
     return roots.select(*k, "node_id").join(parts.select(*k, "node_id", text.alias("text")), [*k, "node_id"], "left").select(*k, "node_id", F.coalesce("text", F.lit("")).alias("text"))

@@ -1,5 +1,7 @@
 """Columns, table functions, plans, sources and streams."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from tagloom.functions import native as N
 from tagloom.functions.tables import register
 from tagloom.operators import grid, render, tree
 from tagloom.operators.relation import nodes
+from tagloom.plans.matching import count, facts, first_text, matches, size
 from tagloom.plans.queries import ORACLES, QUERIES
 from tagloom.plans.relational import page_meta, select, texts
 from tagloom.plans.selector import Selector, SelectorError
@@ -86,6 +89,11 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT r.width FROM t, LATERAL html_table_rows(html) r").first()[0] == 2
     assert spark.sql("SELECT count(*) FROM t, LATERAL html_nodes(html) n").first()[0] == 9
     assert spark.sql("SELECT k.data FROM t, LATERAL html_tokens_state('a&amp;', 'rcdata', 'b') k").first()[0] == "a&"
+    row = spark.sql("""SELECT html_sanitize('<a href="ftp:x" class=k>y', NULL, array('*:class'), array('FTP')) a, html_query(html, 'td:nth-child(2), .q') b, html_matches(html, 'p > b') c,
+      html_is_safe_url('Ftp:x', array('ftp')) d, html_escape_text(concat('<&', chr(160), '>')) e, html_token_json('<b>') f, html_is_safe_url('java\\nscript:') g, html_is_safe_url(NULL) h FROM t""").first()
+    assert tuple(row) == ('<a href="ftp:x" class="k">y</a>', ["<td>b</td>", '<p class="q">&lt;</p>'], False, True, "&lt;&amp;&nbsp;&gt;", '[["StartTag","b",[],false]]', False, None)
+    plan = spark.sql("SELECT html_escape_attr(html), html_is_safe_url(html) FROM t")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
 
 
 def test_native_functions(spark):
@@ -105,6 +113,29 @@ def test_one_python_node_a_scan(spark, sf):
     assert "url" not in plan.split("ReadSchema")[1].split("\n")[0]
 
 
+@pytest.mark.parametrize("name", ["page_facts", "page_title", "nav_links", "odd_link_texts", "heading_text", "footer_text", "tag_histogram", "token_counts", "bold_openings", "later_paragraphs", "paragraph_after_heading", "ads_and_local_links", "pages_by_language"])
+def test_pages_are_parsed_once(spark, sf, name):
+    plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    workers = re.findall(r"(?m)^[\s:+\-*()\d]*(MapInArrow|ArrowEvalPythonUDTF|ArrowEvalPython|BatchEvalPython\w*)\b", plan)
+    assert len(workers) == 1
+    assert not workers[0].startswith("Batch")
+    assert plan.count("FileScan") == 1
+
+
+def test_matches_equal_tree(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {(r.page_id, r.ord, r.node_id, r.text, r.outer_html) for r in matches(pages, "article p:not(:first-child), footer", ("text", "outer_html")).collect()}
+    want = set()
+    for r in pages.collect():
+        t = tree.parse(r.html)
+        want |= {(r.page_id, i, n, render.text_content(t, n), render.serialize(t, n)) for i, n in enumerate(Selector("article p:not(:first-child), footer").select(t))}
+    assert got == want
+    awkward = spark.createDataFrame([(1, None), (2, ""), (3, "<p>x" * 30_000)], "page_id int, html string")
+    assert [tuple(r) for r in facts(awkward, n=count("p"), t=first_text("p"), s=size()).orderBy("page_id").collect()] == [(2, 0, None, 1), (3, 30_000, "x", 60_001)]
+    assert matches(awkward, "p").count() == 30_000
+    assert matches(awkward.limit(0), "p").count() == 0
+
+
 def test_files_and_stream(spark, sf, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_bytes(b"<p>\xe2\x82</p>")
