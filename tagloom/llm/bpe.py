@@ -36,6 +36,15 @@ SEGMENT, LONG, LEAF, WINDOW = 1 << 16, 2048, 1024, 8
 BATCH = 1 << 19
 
 
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in the vocabulary's format: itself if it is printed, else the next one from 256 on."""
+    more = iter(range(256, 512))
+    return [chr(b if 33 <= b < 127 or 161 <= b < 256 and b != 173 else next(more)) for b in range(256)]
+
+
+_CHARS = _byte_chars()
+
+
 class Codec:
     def __init__(self, folder: str, name: str = "byte_bpe_50k"):
         import regex
@@ -47,7 +56,8 @@ class Codec:
                 if line.strip():
                     token, rank = line.split()
                     ranks[base64.b64decode(token)] = int(rank)
-        with open(f"{folder}/{name}.json", encoding="utf-8") as f:
+        self.file = f"{folder}/{name}.json"
+        with open(self.file, encoding="utf-8") as f:
             self.special = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
         self.core = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
         self.bytes = [b""] * (1 + max([*ranks.values(), *self.special.values()]))
@@ -57,9 +67,16 @@ class Codec:
         self.unsplit = regex.compile(rf"\S{{{LONG},}}|\s{{{LONG},}}")
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
+    @functools.cached_property
+    def model(self):
+        """The merges alone, without pre-tokenisation, over characters that stand for bytes."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file).model
+
     def piece(self, data: bytes) -> list[int]:
-        """Of one pre-token."""
-        return self.core._encode_single_piece(data)
+        """Of one pre-token, or a part of one that may begin and end inside a character."""
+        return [x.id for x in self.model.tokenize("".join(map(_CHARS.__getitem__, data)))]
 
     def plain(self, text: str) -> list[int]:
         return self.core.encode(text, allowed_special="all", disallowed_special=())
