@@ -67,6 +67,23 @@ class Tree:
                 self.last[p] = self.last[n]
         return self
 
+    def __len__(self) -> int:
+        """Nodes, the document (node 0) among them."""
+        return len(self.kind)
+
+    def is_bare(self) -> bool:
+        """Whether the document has no children."""
+        return len(self) == 1
+
+    def label(self, n: int) -> str:
+        return f"Node({KINDS[self.kind[n]]!r}, {self.name[n] or self.data[n]!r})"
+
+    def siblings(self, n: int) -> list[int]:
+        """Elements with the same parent as node n, itself among them if it is one; the document alone."""
+        if self.parent[n] < 0:
+            return [n]
+        return [x for x in self.children(self.parent[n]) if self.kind[x] == ELEMENT]
+
     def attr(self, n: int, name: str) -> str | None:
         return next((v for k, v in self.attrs[n] if k == name), None)
 

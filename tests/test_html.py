@@ -62,6 +62,12 @@ def test_depth_and_text():
     assert render.text_content(tree.parse("<title>T</title>a<noscript>n</noscript>b")) == "ab"
 
 
+def test_nodes():
+    t = tree.parse("<ul>a<li>b<li>c</ul><!--d-->")
+    assert [t.label(n) for n in range(len(t))] == ["Node('document', '')", "Node('element', 'ul')", "Node('text', 'a')", "Node('element', 'li')", "Node('text', 'b')", "Node('element', 'li')", "Node('text', 'c')", "Node('comment', 'd')"]
+    assert (t.siblings(5), t.siblings(2), t.siblings(0), t.is_bare(), tree.parse("").is_bare()) == ([3, 5], [3, 5], [0], False, True)
+
+
 def test_sanitizer_is_one_pass():
     once = {"<pre>\n\nx</pre>": "<pre>\nx</pre>", "<h1><font><h2>x": "<h1><h2>x</h2></h1>", "<p><marquee><p>x": "<p><p>x</p></p>"}
     assert {k: render.sanitize(k) for k in once} == once
