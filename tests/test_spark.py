@@ -16,7 +16,7 @@ from tagloom.plans.matching import count, facts, first_text, matches, size
 from tagloom.plans.queries import ORACLES, QUERIES
 from tagloom.plans.relational import page_meta, select, texts
 from tagloom.plans.selector import Selector, SelectorError
-from tagloom.sources.pages import read_html_files
+from tagloom.sources.pages import read_html_files, read_pages, write_nodes
 from tagloom.streaming.pages import page_texts, stream_pages
 
 
@@ -136,6 +136,15 @@ def test_matches_equal_tree(spark, sf):
     assert matches(awkward.limit(0), "p").count() == 0
 
 
+def test_nodes_are_written_and_read(spark, sf, tmp_path):
+    pages = read_pages(spark, f"{sf}/pages.parquet", 3)
+    write_nodes(nodes(pages), str(tmp_path / "nodes"))
+    stored = spark.read.parquet(str(tmp_path / "nodes"))
+    assert "MapInArrow" not in select(stored, "article > p ~ p")._jdf.queryExecution().executedPlan().toString()
+    got = {(r.page_id, r.node_id) for r in select(stored, "article > p ~ p").collect()}
+    assert got == {(r.page_id, r.node_id) for r in matches(pages, "article > p ~ p").collect()}
+
+
 def test_files_and_stream(spark, sf, tmp_path):
     (tmp_path / "html").mkdir()
     (tmp_path / "html" / "a.html").write_bytes(b"<p>\xe2\x82</p>")
