@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm.common import addressed, in_arrow, materialise, quoted, slices, table
-from tagloom.llm.components import components
+from tagloom.llm.components import components, forest
 from tagloom.llm.minhash import similar_classes
 
 SEED = 42
@@ -108,23 +108,6 @@ def _keys(most: int, m: int):
     return F.array(*[F.xxhash64(F.lit(i), *(cut[x] for x in chosen)) for i, chosen in enumerate(combinations(range(most + m), m))])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) of the components of the links a-b between places; no loops."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    a, b = inverse[: len(a)], inverse[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        before = root.copy()
-        low = np.minimum(root[a], root[b])
-        np.minimum.at(root, root[a], low)
-        np.minimum.at(root, root[b], low)
-        root = root[root]
-        if np.array_equal(root, before):
-            break
-    own = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[own], nodes[root[own]]
-
-
 def _paired(key: np.ndarray, prints: np.ndarray, dist: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified links within runs of equal keys, as places; from pairs at distance 1, 2, ... in the run."""
     left = np.arange(len(key))
