@@ -1,272 +1,3 @@
-"""Links between texts by the exact Jaccard similarity of their sets of word shingles.
+"""The former name of nearcopies.py, whose candidates came from MinHash."""
 
-Candidates come from MinHash: the least values of BANDS * ROWS hash functions over a set, in bands of ROWS; two sets that agree on a
-whole band share a key. Two sets of similarity 0.8 share none of BANDS keys with probability (1 - 0.8^4)^20 = 2.6e-5. Pairs of a key are
-discarded if the lesser set has under 0.8 of the greater one's size (exact) or if fewer than AGREE of the 80 values agree (a pair of
-similarity 0.8 has 64 on average, under 48 with a probability of about 1e-5). All others are decided by their sets.
-
-First each key's members are only compared with one of them, twice: that connects most of a group of copies by as many pairs as it
-has members. Then only members that are not connected with most of their key are compared with all others of the key, in tasks that
-hold at most TILE members and get each set once; they return links, never pairs. So the rows that move grow with the members of a
-group, not with its pairs.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from tagloom.llm.common import UID, in_arrow, materialise, mixed, slices
-from tagloom.llm.components import components
-
-SEED = 42
-SHINGLE = 5
-BANDS, ROWS, AGREE = 20, 4, 48
-#: Members of a key that a task holds at once; more are dealt to tiles.
-TILE = 2048
-PARTS = 64
-_FACTORS = np.random.Generator(np.random.PCG64(23)).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
-
-
-def shingle_set(text: bytes | None) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of the ASCII-lower-cased words; a text of fewer words is one shingle."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    body = b" ".join(words)
-    gaps = np.flatnonzero(np.frombuffer(body, np.uint8) == 32)
-    starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(body)]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(body[s:e], SEED) for s, e in zip(starts, ends[min(SHINGLE, len(words)) - 1 :], strict=False)), np.uint64))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets have a Jaccard similarity of 4/5 or more, in whole numbers."""
-    both = len(a) + len(b)
-    return 9 * (both - len(np.union1d(a, b))) >= 4 * both
-
-
-def least_values(hashes: np.ndarray) -> np.ndarray:
-    out = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(hashes), 1 << 12):
-        np.minimum(out, (_FACTORS[:, None] * hashes[None, at : at + (1 << 12)]).min(axis=1), out=out)
-    return out
-
-
-def band_keys(values: np.ndarray) -> np.ndarray:
-    keys = np.arange(BANDS, dtype=np.uint64)
-    for column in values.reshape(BANDS, ROWS).T:
-        keys = mixed(keys ^ column)
-    return keys.view(np.int64)
-
-
-def _printer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        marks, sizes, signs, keys = [], [], [], []
-        for body in b.column("body").to_pylist():
-            own = shingle_set(body)
-            values = least_values(own)
-            marks.append(xxhash.xxh3_128_digest(own.tobytes(), SEED))
-            sizes.append(len(own))
-            signs.append(mixed(values).astype(np.uint8).tobytes())
-            keys.append(band_keys(values) if len(own) else np.empty(0, np.int64))
-        ends = np.cumsum([0, *(len(x) for x in keys)]).astype(np.int32)
-        listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys)))
-        yield pa.RecordBatch.from_arrays([b.column("uid"), b.column("doc_id"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32()), pa.array(signs, pa.binary()), listed], ["uid", "doc_id", "mark", "size", "signs", "keys"])
-
-
-def _bodies(docs: DataFrame, uid: str) -> DataFrame:
-    return docs.select(F.col(uid).alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-
-
-def printed(docs: DataFrame, uid: str) -> DataFrame:
-    """uid, doc_id, mark (128 bits that tell sets apart), size, signs (a byte of each least value) and keys of each row."""
-    return _bodies(docs, uid).transform(in_arrow, _printer, f"uid {UID}, doc_id long, mark binary, size int, signs binary, keys array<long>")
-
-
-def _plausible(i: int, others: np.ndarray, size: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Which of the other places may be similar to place i."""
-    ok = others[5 * np.minimum(size[i], size[others]) >= 4 * np.maximum(size[i], size[others])]
-    return ok[(signs[i] == signs[ok]).sum(axis=1) >= AGREE]
-
-
-def _sorted_runs(batches: Iterator[pa.RecordBatch], read) -> Iterator[tuple]:
-    """What read(batch) returns (arrays, the first of which is the run), whole runs at a time, of batches sorted by run."""
-    held = None
-    for b in batches:
-        if not b.num_rows:
-            continue
-        own = read(b)
-        held = own if held is None else tuple(np.concatenate(x) for x in zip(held, own, strict=True))
-        last = int(np.argmax(held[0] == held[0][-1]))  # the last run may go on
-        if last:
-            yield tuple(x[:last] for x in held)
-        held = tuple(x[last:] for x in held)
-    if held is not None:
-        yield held
-
-
-def _signs(b: pa.RecordBatch) -> np.ndarray:
-    return np.frombuffer(b"".join(b.column("signs").to_pylist()), np.uint8).reshape(b.num_rows, -1)
-
-
-def _star(salt: int):
-    """Pairs of each member of a run and one that the salt draws."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = lambda b: (*(np.asarray(b.column(c)) for c in ("run", "node", "root", "size")), _signs(b))
-        for run, node, root, size, signs in _sorted_runs(batches, read):
-            order = np.lexsort((mixed(node, salt), run))
-            first = np.r_[True, run[order][1:] != run[order][:-1]]
-            a, b = order[first][np.cumsum(first) - 1], order
-            x, y = size[a], size[b]
-            ok = np.flatnonzero((root[a] != root[b]) & (5 * np.minimum(x, y) >= 4 * np.maximum(x, y)))
-            for at in np.array_split(ok, 1 + len(ok) // 20_000):
-                at = at[(signs[a[at]] == signs[b[at]]).sum(axis=1) >= AGREE]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[a[at]]), pa.array(node[b[at]])], ["a", "b"])
-
-    return run
-
-
-def _probes(run: np.ndarray, node: np.ndarray, root: np.ndarray, probe: np.ndarray, member: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Of rows sorted by run: each probing place, and the members of its run that it is to be compared with."""
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    for s, e in zip(starts, [*starts[1:], len(run)], strict=True):
-        held = np.flatnonzero(member[s:e]) + s
-        for i in np.flatnonzero(probe[s:e]) + s:
-            # Two probing members meet in the tiles of both: the lesser node asks.
-            yield i, held[(root[held] != root[i]) & (~probe[held] | (node[i] < node[held]))]
-
-
-def _asker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows that are in a plausible pair of their run."""
-    names = ["run", "node", "root", "probe", "member", "size"]
-    read = lambda b: (*(np.asarray(b.column(c)) for c in names), _signs(b))
-    for run, node, root, probe, member, size, signs in _sorted_runs(batches, read):
-        wanted = np.zeros(len(run), bool)
-        for i, others in _probes(run, node, root, probe, member):
-            ok = _plausible(i, others, size, signs)
-            if len(ok):
-                wanted[ok] = wanted[i] = True
-        yield pa.RecordBatch.from_arrays([pa.array(x[wanted]) for x in (run, node, root, probe, member, size)] + [pa.array([x.tobytes() for x in signs[wanted]], pa.binary())], [*names, "signs"])
-
-
-def _linker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of the probing rows, by their sets; none between rows that links of this task connect already."""
-    names = ["run", "node", "root", "probe", "member", "size"]
-
-    def read(b):
-        sets = np.empty(b.num_rows, object)
-        sets[:] = [np.frombuffer(x, np.uint64) for x in b.column("shingles").to_pylist()]
-        return (*(np.asarray(b.column(c)) for c in names), _signs(b), sets)
-
-    for run, node, root, probe, member, size, signs, sets in _sorted_runs(batches, read):
-        found, root = [], root.copy()
-        for i, others in _probes(run, node, root, probe, member):
-            ok = _plausible(i, others[root[others] != root[i]], size, signs)
-            if not len(ok):
-                continue
-            both = _common(sets[i], sets[ok])
-            near = ok[9 * both >= 4 * (size[i] + size[ok])]
-            if len(near):
-                # One link to each group that is connected so far.
-                groups, first = np.unique(root[near], return_index=True)
-                found.append((np.full(len(first), node[i]), node[near[first]]))
-                root[np.isin(root, groups)] = root[i]
-        a, b = (np.concatenate([x[k] for x in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-
-def _common(own: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """How many elements of each other sorted set are in this one."""
-    sizes = np.array([len(x) for x in others], np.int64)
-    flat = np.concatenate(others)
-    inside = np.searchsorted(own, flat)
-    hit = own[np.minimum(inside, len(own) - 1)] == flat
-    return np.add.reduceat(hit.astype(np.int64), np.r_[0, np.cumsum(sizes)[:-1]])
-
-
-def _setter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingle_set(x).tobytes() for x in b.column("body").to_pylist()], pa.binary())], ["node", "shingles"])
-
-
-def _decider(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    own = np.empty(0, np.uint64)
-    for batch in slices(batches):
-        found = []
-        for a, b, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "shingles")), strict=True):
-            x = np.frombuffer(raw, np.uint64)
-            if b is None:  # the set that the following ones are compared with
-                own = x
-            elif similar(own, x):
-                found.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
-
-
-def _decided(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)))
-    heads = pairs.select("a", "part").distinct().join(sets, F.col("a") == F.col("node")).select("a", F.lit(None).cast("long").alias("b"), "part", "shingles")
-    tails = pairs.join(sets, F.col("b") == F.col("node")).select("a", "b", "part", "shingles")
-    rows = heads.unionByName(tails).repartition("a", "part").sortWithinPartitions("a", "part", "b")
-    return rows.transform(in_arrow, _decider, "a long, b long")
-
-
-def _by_key(keyed: DataFrame, tile: int) -> DataFrame:
-    """(node, key, tiles): the sets that share a key."""
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("shared"), F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    return keyed.join(materialise(shared), F.col("key") == F.col("shared")).select("node", "key", "tiles")
-
-
-def _unconnected(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(node, root, run, probe, member): of keys whose sets are not all connected, each set as a member of one tile, and those apart from
-    most of their key as probes of all its tiles."""
-    rooted = members.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "key", "tiles", F.coalesce("root", "node").alias("root"))
-    of = rooted.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("n"))
-    of = materialise(of.where("n > 1").select(F.col("key").alias("mixed"), F.col("most.root").alias("most")))
-    rows = rooted.join(of, F.col("key") == F.col("mixed")).withColumn("probe", F.col("root") != F.col("most")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")))
-    tiles = F.when(F.col("probe"), F.sequence(F.lit(0).cast("long"), F.col("tiles").cast("long") - 1)).otherwise(F.array(F.col("own")))
-    rows = rows.withColumn("at", F.explode(tiles))
-    return rows.select("node", "root", F.xxhash64("key", "at").alias("run"), "probe", (F.col("at") == F.col("own")).alias("member"))
-
-
-def _connected(roots: DataFrame, links: DataFrame) -> DataFrame:
-    """roots (node, root) after the links; what they connect already goes in as one link a node."""
-    if links.isEmpty():
-        return roots
-    return materialise(components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))))
-
-
-def similar_classes(docs: DataFrame, uid: str, tile: int = TILE) -> DataFrame:
-    """uid, doc_id, mark and root (what tells groups of linked texts apart) of each row of docs, whose column `uid` tells them apart."""
-    rows = materialise(printed(docs, uid))
-    # One row a set, with a number that is written with it.
-    prints = rows.groupBy("mark").agg(F.min("uid").alias("first_uid"), F.first("size").alias("size"), F.first("signs").alias("signs"), F.first("keys").alias("keys"))
-    prints = materialise(prints.withColumn("node", F.monotonically_increasing_id()))
-    members = materialise(_by_key(prints.select("node", F.explode("keys").alias("key")), tile))
-    needed = materialise(members.select("node").distinct().join(prints.select(F.col("node").alias("own"), "first_uid"), F.col("node") == F.col("own")).select("node", "first_uid"))
-    sets = _bodies(docs, uid).join(needed, F.col("uid") == F.col("first_uid")).select("node", "body")
-    sets = materialise(sets.transform(in_arrow, _setter, "node long, shingles binary"))
-    facts = prints.select(F.col("node").alias("fact"), "size", "signs")
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
-    for salt in (0, 1):
-        rooted = facts.join(roots, F.col("fact") == F.col("node"), "left").select("fact", "size", "signs", F.coalesce("root", "fact").alias("root"))
-        # Other tiles each time, so that what one round connects within tiles the next connects across them.
-        run = F.xxhash64("key", F.pmod(F.xxhash64(F.lit(salt), "node"), F.col("tiles"))).alias("run")
-        near = members.join(rooted, F.col("node") == F.col("fact")).select(run, "node", "root", "size", "signs").repartition("run").sortWithinPartitions("run")
-        pairs = materialise(near.transform(in_arrow, _star(salt), "a long, b long").distinct())
-        roots = _connected(roots, materialise(_decided(pairs, sets)))
-    kind = "run long, node long, root long, probe boolean, member boolean, size int, signs binary"
-    asked = _unconnected(members, roots).join(facts, F.col("node") == F.col("fact")).select(*(x.split()[0] for x in kind.split(", ")))
-    asked = materialise(asked.repartition("run").sortWithinPartitions("run").transform(in_arrow, _asker, kind))
-    asked = asked.join(sets.withColumnRenamed("node", "set_node"), F.col("node") == F.col("set_node")).drop("set_node")
-    roots = _connected(roots, materialise(asked.repartition("run").sortWithinPartitions("run").transform(in_arrow, _linker, "a long, b long").distinct()))
-    known = prints.select(F.col("mark").alias("known"), "node").join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("known", F.coalesce("root", "node").alias("root"))
-    return rows.join(materialise(known), F.col("mark") == F.col("known")).select("uid", "doc_id", "mark", "root")
+from tagloom.llm.nearcopies import similar_classes  # noqa: F401

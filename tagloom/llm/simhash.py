@@ -8,8 +8,9 @@ only. m grows with the number of fingerprints, so that keys get longer and rando
 fingerprints are dealt to tiles, each pair of tiles a task's work. Within a run of a key only a spanning forest of the verified links is
 emitted.
 
-near_dedup() decides by the Jaccard similarity of five-word shingles, which 64 bits cannot: at 0.8 two fingerprints differ in 9 to 10 bits on
-average and in up to 18, as many as texts of 0.6 do, and no choice of pieces finds pairs so far apart. Its links are those of minhash.py.
+near_dedup() joins wider SimHash prints of the sets of five-word shingles through pivot distance tables too, and decides each pair found by
+the Jaccard similarity of the sets: at 0.8 two 64-bit fingerprints differ in up to 18 bits, as many as those of less similar texts do, and
+no choice of pieces finds pairs so far apart. Its links are those of nearcopies.py.
 
 Defined results: null and empty texts have fingerprint zero, which is linked like any other; equal fingerprints form one class without
 being paired; a null doc_id keeps its row and counts for no component_id unless all are null; extra columns are ignored; an empty
@@ -30,10 +31,10 @@ from pyspark.sql import functions as F
 
 from tagloom.llm.common import addressed, in_arrow, materialise, quoted, slices, table
 from tagloom.llm.components import components, forest
-from tagloom.llm.minhash import similar_classes
+from tagloom.llm.nearcopies import similar_classes
+from tagloom.llm.pivots import pivot_table, pivots
 
 SEED = 42
-PIVOTS = 16
 #: Fingerprints of one key that a task pairs at once; more are dealt to tiles.
 TILE = 2048
 
@@ -69,15 +70,6 @@ def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
     return rows.transform(in_arrow, _printer(shingle), "doc_id long, fp long")
 
 
-def pivots(n: int = PIVOTS, seed: int = 11) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, n, np.uint64)
-
-
-def pivot_table(prints: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distances to the references, one row a fingerprint."""
-    return np.bitwise_count(prints[:, None] ^ refs[None, :]).astype(np.uint8)
-
-
 def _tabler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     refs = pivots()
     for b in batches:
