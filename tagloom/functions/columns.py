@@ -99,7 +99,7 @@ def html_tables(c: str | Column) -> Column:
     """Grids of all tables; pages without a table tag are not sent to Python."""
     c = _col(c)
     none = F.array().cast(GRIDS)
-    return F.when(c.isNull(), F.lit(None).cast(GRIDS)).when(~c.rlike("(?i)<table"), none).otherwise(_call(lambda h: grid.tables(tree.parse(h)), GRIDS, c))
+    return F.when(c.isNull(), F.lit(None).cast(GRIDS)).when(~c.rlike("(?i)<table"), none).otherwise(_call(grid.grids, GRIDS, c))
 
 
 def html_query(c: str | Column, selector: str) -> Column:

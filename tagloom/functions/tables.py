@@ -53,7 +53,7 @@ class HtmlSelect:
 @udtf(returnType="table_ix int, row_ix int, col_ix int, text string", useArrow=True)
 class HtmlCells:
     def eval(self, html: str):
-        for i, table in enumerate(grid.tables(tree.parse(html)) if html is not None else ()):
+        for i, table in enumerate(grid.grids(html) if html is not None else ()):
             for j, row in enumerate(table):
                 for k, text in enumerate(row):
                     yield i, j, k, text
@@ -62,7 +62,7 @@ class HtmlCells:
 @udtf(returnType="table_ix int, row_ix int, width int", useArrow=True)
 class HtmlTableRows:
     def eval(self, html: str):
-        for i, table in enumerate(grid.tables(tree.parse(html)) if html is not None else ()):
+        for i, table in enumerate(grid.grids(html) if html is not None else ()):
             for j, row in enumerate(table):
                 yield i, j, len(row)
 
@@ -132,7 +132,7 @@ def register(spark: SparkSession) -> None:
         "html_query": (_select, "array<string>"),
         "html_matches": (_any_match, "boolean"),
         "html_meta": (some(C.meta_row), C.META),
-        "html_tables": (some(lambda h: grid.tables(tree.parse(h))), C.GRIDS),
+        "html_tables": (some(grid.grids), C.GRIDS),
     }
     for name, (f, kind) in scalars.items():
         spark.udf.register(name, udf(f, kind, useArrow=True))

@@ -50,7 +50,7 @@ _NAMES = [x.strip().split(" ")[0] for x in ("node_id parent_id last_desc depth k
 
 
 #: Pages of a batch, and their bytes, that a worker holds as objects at once; a longer page makes a batch of its own.
-PAGES, PAGE_BYTES = 256, 4 << 20
+PAGES, PAGE_BYTES = 4096, 4 << 20
 
 
 def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +74,7 @@ def _expand(keys: list[str]):
             source: list[int] = []
 
             def batch(b=b):
-                own = b.take(pa.array(source, pa.int32()))
+                own = b.select(keys).take(pa.array(source, pa.int32()))
                 columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
                 return pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *columns], [*keys, *_NAMES])
 

@@ -45,7 +45,7 @@ def _flat(pages: DataFrame, html_col: str, keys: tuple[str, ...], more: list[tup
             source: list[int] = []
 
             def batch(b=b):
-                own = b.take(pa.array(source, pa.int32()))
+                own = b.select(list(keys)).take(pa.array(source, pa.int32()))
                 columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)]
                 return pa.RecordBatch.from_arrays([*(own.column(k) for k in keys), *columns], [*keys, *names])
 
@@ -129,3 +129,12 @@ def facts(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("pa
         return [tuple(f(t) for f in getters)]
 
     return _flat(pages, html_col, keys, [(name, kind) for name, (kind, _) in columns.items()], rows_of)
+
+
+def table_rows(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """keys, table_ix, row_ix and cells: one row for each row of each table, with the texts of its cells."""
+
+    def rows_of(html: str) -> list[tuple]:
+        return [(i, j, row) for i, table in enumerate(grid.grids(html)) for j, row in enumerate(table)]
+
+    return _flat(pages, html_col, keys, [("table_ix", "int"), ("row_ix", "int"), ("cells", "array<string>")], rows_of)

@@ -197,14 +197,14 @@ def nation_table(spark, sf_dir):
 
 @query("SELECT l_orderkey AS orderkey, l_linenumber::INT AS line, l_quantity::DOUBLE AS quantity FROM lineitem")
 def order_tables(spark, sf_dir):
-    """Lines of all orders as one table an order, and back through the cell relation."""
-    register(spark)
+    """Lines of all orders as one table an order, and back through the relation of table rows."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    row = F.concat(F.lit("<tr><td>"), F.col("l_linenumber").cast("string"), F.lit("</td><td> "), F.col("l_quantity").cast("string"), F.lit("\n</td></tr>"))
-    lines.groupBy("l_orderkey").agg(F.concat(F.lit("<table><tbody>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html")).createOrReplaceTempView("tagloom_orders")
-    cells = spark.sql("SELECT l_orderkey, c.* FROM tagloom_orders, LATERAL html_cells(html) c")
-    found = cells.groupBy("l_orderkey", "row_ix").agg(F.max(F.when(F.col("col_ix") == 0, F.col("text"))).alias("a"), F.max(F.when(F.col("col_ix") == 1, F.col("text"))).alias("b"))
-    return found.select(F.col("l_orderkey").alias("orderkey"), F.col("a").cast("int").alias("line"), F.col("b").cast("double").alias("quantity"))
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    row = F.concat(F.lit("<tr><td>"), said("l_linenumber"), F.lit("</td><td> "), said("l_quantity"), F.lit("\n</td></tr>"))
+    orders = lines.groupBy("l_orderkey").agg(F.concat(F.lit("<table><tbody>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    found = M.table_rows(orders, keys=("l_orderkey",))
+    cell = lambda i: F.nullif(F.get("cells", F.lit(i)), F.lit(""))
+    return found.select(F.col("l_orderkey").alias("orderkey"), cell(0).cast("int").alias("line"), cell(1).cast("double").alias("quantity"))
 
 
 # ---- stated inputs and expected values ----------------------------------------------------------------------------

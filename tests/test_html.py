@@ -135,6 +135,16 @@ def test_any_markup(html):
     render.extract_text(t), grid.tables(t), grid.meta(t), render.serialize(t)
 
 
+PLAIN = st.lists(st.sampled_from(["<tr>", "</tr>", "<td>x</td>", "<th> a \n\x0bb </th>", "<td></td>", "<tr><td>y</td></tr>", "<tr></tr>", "\n", " ", "z", "<td>", "</td>", "&lt;", "\r", "\0", "<td>a</th>", "<table>", "</table>", "<tbody>", "</tbody>"]), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(PLAIN, st.sampled_from(["<table>", "<table><tbody>"]), st.sampled_from(["</table>", "</tbody></table>", ""]))
+def test_plain_tables_without_a_tree(rows, start, end):
+    html = start + rows + end
+    assert grid.grids(html) == grid.tables(tree.parse(html))
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(string.printable))
 def test_text_only(text):

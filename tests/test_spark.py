@@ -42,6 +42,14 @@ def test_order_tables_hold_every_order(spark, sf):
     assert sorted(map(tuple, got)) == sorted(lines)
 
 
+def test_order_tables_are_read_in_one_arrow_map_after_one_shuffle(spark, sf, tmp_path):
+    plan = QUERIES["order_tables"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.findall(r"MapInArrow|EvalPythonUDTF|Exchange", plan) == ["MapInArrow", "Exchange"]
+    rows = [(1, 1, 2.5), (1, None, 3.0), (1, 3, None), (None, 4, 1e-7), (2, None, None)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert sorted(map(tuple, QUERIES["order_tables"](spark, str(tmp_path)).collect()), key=repr) == sorted(rows, key=repr)
+
+
 @pytest.mark.parametrize("selector", ["p", "nav li:nth-child(odd) > a", "article > p ~ p", "h1 + p, footer", "div:not(.ad), [href^='/t']", "ul a", "li:nth-last-child(-n+2)", ":empty"])
 def test_plan_equals_tree(spark, sf, selector):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
