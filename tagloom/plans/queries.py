@@ -17,7 +17,7 @@ from tagloom.operators.relation import nodes
 from tagloom.operators.render import Policy
 from tagloom.plans import matching as M
 from tagloom.plans.matching import facts, matches
-from tagloom.plans.relational import attr, element_siblings, page_meta, select, texts, with_match
+from tagloom.plans.relational import attr, element_siblings, page_meta, select, selected_texts, texts, with_match
 from tagloom.plans.relational import within as below
 from tagloom.plans.selector import SelectorError, parse_selector
 
@@ -92,10 +92,9 @@ def heading_text(spark, sf_dir):
 
 @query("""SELECT page_id, i AS place, links[i] AS text FROM (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">(.*?)</a>', 1, 's') AS links FROM pages), range(1, 200) t(i) WHERE i <= len(links)""")
 def link_texts_by_relation(spark, sf_dir):
-    """Selectors as semi-joins and texts by intervals, over one node relation."""
-    n = nodes(pages(spark, sf_dir))
-    items = select(n, "nav ul > li")
-    return texts(n, items).join(items.select("page_id", "node_id", F.col("el_pos").cast("long").alias("place")), ["page_id", "node_id"]).select("page_id", "place", "text")
+    """Selectors and texts by intervals, over one reading of the node relation."""
+    found = selected_texts(nodes(pages(spark, sf_dir)), "nav ul > li", columns=("el_pos",))
+    return found.select("page_id", F.col("el_pos").cast("long").alias("place"), "text")
 
 
 @query("""SELECT page_id, len(regexp_extract_all(html, '<li>'))::BIGINT AS below_nav, len(regexp_extract_all(html, '<a href="/'))::BIGINT AS below_items FROM pages""")

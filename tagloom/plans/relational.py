@@ -1,10 +1,11 @@
-"""Plans over the node relation: selectors as semi-joins, text, links and metadata as aggregates."""
+"""Plans over the node relation: selectors as windows over one reading of it, text, links and metadata as aggregates."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.functions.native import ascii_lower, collapse_ws, split_ws
@@ -59,33 +60,67 @@ def compound_column(c: Compound) -> Column:
     return reduce(lambda a, b: a & b, tests, F.lit(True))
 
 
-def _complex(elements: DataFrame, steps: Complex, keys: list[str]) -> DataFrame:
-    found = elements.where(compound_column(steps[0][1]))
-    for combinator, compound in steps[1:]:
-        own = elements.where(compound_column(compound))
-        if combinator == ">":
-            above = found.select(*keys, F.col("node_id").alias("parent_id"))
-            found = own.join(above, [*keys, "parent_id"], "left_semi")
-        elif combinator == "+":
-            before = found.select(*keys, "parent_id", (F.col("el_pos") + 1).alias("el_pos"))
-            found = own.join(before, [*keys, "parent_id", "el_pos"], "left_semi")
-        elif combinator == "~":
-            first = found.groupBy(*keys, "parent_id").agg(F.min("el_pos").alias("__first"))
-            found = own.join(first, [*keys, "parent_id"]).where("el_pos > __first").drop("__first")
-        else:
-            above = found.select(*keys, F.col("node_id").alias("__above"))
-            below = own.select(*keys, "node_id", F.explode("ancestors").alias("__above")).join(above, [*keys, "__above"], "left_semi")
-            found = own.join(below.select(*keys, "node_id").distinct(), [*keys, "node_id"], "left_semi")
-    return found.select(*elements.columns)
+#: Places of a depth in the order by depth and then node.
+_DEPTH = 1 << 32
+
+
+def _steps(flags: list[Column], steps: Complex, k: list[str]) -> list[Callable[[DataFrame], DataFrame]]:
+    """What adds the column __found to candidates that have these flags, one flag a step."""
+    page = Window.partitionBy(*k)
+    before = page.orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    siblings = Window.partitionBy(*k, "parent_id").orderBy("el_pos")
+    at = F.col("depth").cast("bigint") * _DEPTH + F.col("node_id")
+    # of what is found one level higher, the last before a node is the only one that can be its parent
+    higher = page.orderBy(at).rangeBetween(Window.unboundedPreceding, -_DEPTH)
+    last = lambda value, window: F.max(F.when(F.col("__found"), value)).over(window)
+    reached = {
+        " ": last(F.col("last_desc"), before) >= F.col("node_id"),
+        ">": last(at, higher) == at - F.col("node_id") - _DEPTH + F.col("parent_id"),
+        "+": last(F.col("el_pos"), siblings.rowsBetween(-1, -1)) == F.col("el_pos") - 1,
+        "~": F.coalesce(F.max("__found").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)),
+    }
+    first, *later = flags
+    adds = [lambda df: df.withColumn("__found", first)]
+    for (combinator, _), flag in zip(steps[1:], later, strict=True):
+        adds.append(lambda df, c=combinator, flag=flag: df.withColumn("__found", flag & F.coalesce(reached[c], F.lit(False))))
+    return adds
+
+
+def _found(nodes: DataFrame, complexes: list[Complex], keys: tuple[str, ...], also: Column) -> DataFrame:
+    """Rows of the elements that match, with __found, and rows for which `also` holds, from one reading of nodes."""
+    names = [[f"__flag_{i}_{j}" for j in range(len(c))] for i, c in enumerate(complexes)]
+    is_element = F.col("kind") == "element"
+    flags = [(is_element & compound_column(step[1])).alias(n) for c, own in zip(complexes, names, strict=True) for step, n in zip(c, own, strict=True)]
+    df = nodes.select(*nodes.columns, *flags).where(reduce(lambda a, b: a | b, (F.col(n) for own in names for n in own), also))
+    if any(len(c) > 1 for c in complexes):
+        df = df.repartition(*keys)
+    for i, (c, own) in enumerate(zip(complexes, names, strict=True)):
+        for add in _steps([F.col(n) for n in own], c, list(keys)):
+            df = add(df)
+        df = df.withColumnRenamed("__found", f"__found_{i}")
+    found = reduce(lambda a, b: a | b, (F.col(f"__found_{i}") for i in range(len(complexes))))
+    return df.select(*nodes.columns, found.alias("__found")).where(also | F.col("__found"))
 
 
 def select(nodes: DataFrame, selector: str, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """Rows of the elements that match; a bad selector raises before anything runs."""
-    complexes = parse_selector(selector)
-    elements = nodes.where("kind = 'element'")
-    found = [_complex(elements, c, list(keys)) for c in complexes]
-    out = reduce(DataFrame.unionByName, found)
-    return out.dropDuplicates([*keys, "node_id"]) if len(found) > 1 else out
+    """Rows of the elements that match; a bad selector raises before anything runs. The nodes are read once."""
+    return _found(nodes, parse_selector(selector), keys, F.lit(False)).drop("__found")
+
+
+def selected_texts(nodes: DataFrame, selector: str, keys: tuple[str, ...] = ("page_id",), columns: tuple[str, ...] = ()) -> DataFrame:
+    """keys, node_id, these columns and the text of each element that matches, as by select and texts, but the nodes are read once."""
+    k = list(keys)
+    is_text = F.col("kind") == "text"
+    df = _found(nodes, parse_selector(selector), keys, is_text)
+    before = Window.partitionBy(*k).orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("__inside", F.max(F.when(F.col("__found"), F.col("last_desc"))).over(before) >= F.col("node_id")).where("__found OR __inside")
+    # each text goes to the elements above it, each element that matches to itself
+    df = df.select(*df.columns, F.explode(F.when(is_text, F.col("ancestors")).otherwise(F.array("node_id"))).alias("__at"))
+    shown = is_text & (F.col("hidden_by").isNull() | (F.col("hidden_by") < F.col("__at")))
+    parts = F.array_sort(F.collect_list(F.when(shown, F.struct("node_id", "data"))))
+    own = [F.max_by(c, F.when(F.col("__found"), F.lit(1))).alias(c) for c in columns]
+    df = df.groupBy(*k, "__at").agg(F.max("__found").alias("__root"), parts.alias("__parts"), *own).where("__root")
+    return df.select(*k, F.col("__at").alias("node_id"), *columns, F.array_join(F.transform("__parts", lambda p: p["data"]), "").alias("text"))
 
 
 def within(found: DataFrame, scopes: DataFrame, keys: tuple[str, ...] = ("page_id",)) -> DataFrame:

@@ -14,7 +14,7 @@ from tagloom.operators import grid, render, tree
 from tagloom.operators.relation import nodes
 from tagloom.plans.matching import count, facts, first_text, matches, size
 from tagloom.plans.queries import ORACLES, QUERIES
-from tagloom.plans.relational import page_meta, select, texts
+from tagloom.plans.relational import page_meta, select, selected_texts, texts
 from tagloom.plans.selector import Selector, SelectorError
 from tagloom.sources.pages import read_html_files, read_pages, write_nodes
 from tagloom.streaming.pages import page_texts, stream_pages
@@ -61,6 +61,27 @@ def test_plan_equals_tree(spark, sf, selector):
     assert got == want
 
 
+def test_selectors_and_texts_read_the_nodes_once(spark, sf):
+    markup = [
+        "<div><p>a<b>b<script>c</script></b><div><p>d</p>e</div></div>f<p>g", "<ul><li>a<ul><li>b</li><!--c--><li>d</ul>e<li>f</ul>",
+        "<div id=x><i>1</i>t<i>2</i><div><i>3</i></div><i>4</i></div><div><div><i>5</i></div></div>", "<p><i>a</i></p><p><b>b</b></p>", "<script>a</script><title>b<p></title>", "", None,
+    ]
+    pages = spark.createDataFrame(list(enumerate(markup)), "page_id int, html string")
+    n = nodes(pages)
+    for selector in ("div > i", "div div > i", "i + i", "i ~ i", "div > div i", "li li, i", "p + p > b, div p", "*", "script, title, ul > li > ul", "div ~ div > div > i"):
+        got = {(r.page_id, r.node_id, r.el_pos, r.text) for r in selected_texts(n, selector, columns=("el_pos",)).collect()}
+        found, want = {(r.page_id, r.node_id) for r in select(n, selector).collect()}, set()
+        for i, html in enumerate(markup[:-1]):
+            t = tree.parse(html)
+            chosen, place = Selector(selector).placed(t)
+            want |= {(i, x, place[x], render.text_content(t, x)) for x in chosen}
+        assert got == want
+        assert found == {w[:2] for w in want}
+    for plan in (select(n, "nav ul > li"), QUERIES["link_texts_by_relation"](spark, sf)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert (text.count("MapInArrow"), text.count("Exchange hashpartitioning")) == (1, 1)
+
+
 def test_bad_selector_fails_before_running(spark, sf):
     with pytest.raises(SelectorError):
         select(nodes(spark.read.parquet(f"{sf}/pages.parquet")), "a[")
