@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
 
 from tagloom.operators import grid, render, scan, tree
-from tagloom.operators.relation import ATTRS
+from tagloom.operators.relation import ATTRS, parts
 from tagloom.plans import matching
 from tagloom.plans.matching import META
 from tagloom.plans.selector import Selector
@@ -22,8 +27,20 @@ def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _call(f, kind: str, *columns: Column) -> Column:
-    return F.udf(lambda *a: None if a[0] is None else f(*a), kind, useArrow=True)(*columns)
+def by_parts(f: Callable, kind: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
+    """f of each value of Arrow arrays, null in, null out; a part of bounded size at a time is Python objects and leaves before the next."""
+    out = to_arrow_type(_parse_datatype_string(kind))
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for values in batches:
+            for part in parts(values):
+                yield pa.array([None if x is None else f(x) for x in values.slice(*part).to_pylist()], out)
+
+    return run
+
+
+def _call(f, kind: str, column: Column) -> Column:
+    return F.arrow_udf(by_parts(f, kind), kind, ArrowUDFType.SCALAR_ITER)(column)
 
 
 def token_row(i: int, token: tuple) -> tuple:

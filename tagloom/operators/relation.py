@@ -53,18 +53,24 @@ _NAMES = [x.strip().split(" ")[0] for x in ("node_id parent_id last_desc depth k
 PAGES, PAGE_BYTES = 4096, 4 << 20
 
 
+def parts(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Place and length of successive parts of texts, of bounded size."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and (i - first >= PAGES or held + size > PAGE_BYTES):
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if first < len(sizes):
+        yield first, len(sizes) - first
+
+
 def page_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same pages (column __html) in batches of bounded size."""
     for b in batches:
-        sizes = pc.fill_null(pc.binary_length(b.column("__html")), 0).to_pylist()
-        first = held = 0
-        for i, size in enumerate(sizes):
-            if i > first and (i - first >= PAGES or held + size > PAGE_BYTES):
-                yield b.slice(first, i - first)
-                first, held = i, 0
-            held += size
-        if first < b.num_rows:
-            yield b.slice(first)
+        for first, n in parts(b.column("__html")):
+            yield b.slice(first, n)
 
 
 def _expand(keys: list[str]):

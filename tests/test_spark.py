@@ -1,8 +1,10 @@
 """Columns, table functions, plans, sources and streams."""
 
 import re
+import tracemalloc
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +111,21 @@ def test_nulls_and_extra_columns(spark):
     assert nodes(df.limit(0)).count() == 0
 
 
+def test_values_of_a_batch_are_objects_a_part_at_a_time():
+    values = pa.array([None, *("x" * 2_000 for _ in range(20_000)), ""])
+    run = C.by_parts(str.upper, "string")
+    lengths, seen = [], set()
+    tracemalloc.start()
+    for part in run(iter([values, pa.array([], pa.string())])):
+        lengths.append(len(part))
+        seen |= set(part.to_pylist()) if len(lengths) == 1 else set()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    assert sum(lengths) == 20_002
+    assert seen == {None, "X" * 2_000}
+
+
 def test_sql_functions(spark):
     register(spark)
     spark.createDataFrame([(1, "<table><tr><td>a<td>b</table><p class=q>&lt;</p>")], "id int, html string").createOrReplaceTempView("t")
